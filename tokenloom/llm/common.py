@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def text_slices(batches, column: str = "text", max_bytes: int = CHUNK_BYTES):
         if not batch.num_rows:
             continue
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
         group = np.cumsum(sizes) // max_bytes
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
