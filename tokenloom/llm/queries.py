@@ -6,6 +6,7 @@ import importlib
 
 #: Module of each operator's query.
 _MODULES = {
+    "op2_quality": "quality",
     "op3_toxicity": "toxicity",
     "op9_sentencepieces": "sentencepieces",
 }
