@@ -36,9 +36,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and continue from there: lineage ends, lost executors lose nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df once as a table in the shared folder and continue from there.
+
+    Lineage ends and lost executors lose nothing; unlike checkpoint(), which
+    computes its input a second time to write it, this computes it once.
+    """
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
@@ -74,3 +79,24 @@ def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+#: Rows up to which a counted table may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with the right side broadcast if, counted, it has at most `most` rows, else with a shuffle.
+
+    right is read twice, so it should be a table that was cut.
+    """
+    return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)
+
+
+def open_store(uri: str):
+    """The file system and the path in it of a folder or file given as Spark names it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)

@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op2_quality": "quality",
     "op3_toxicity": "toxicity",
+    "op5_chat": "chat",
     "op9_sentencepieces": "sentencepieces",
 }
 
