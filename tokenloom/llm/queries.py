@@ -9,7 +9,9 @@ _MODULES = {
     "op2_quality": "quality",
     "op3_toxicity": "toxicity",
     "op5_chat": "chat",
+    "op8_decontaminate": "decontaminate",
     "op9_sentencepieces": "sentencepieces",
+    "op10_warc": "warc",
 }
 
 
