@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op2_quality": "quality",
     "op3_toxicity": "toxicity",
+    "op4_nearcopies": "nearcopies",
     "op5_chat": "chat",
     "op8_decontaminate": "decontaminate",
     "op9_sentencepieces": "sentencepieces",
