@@ -10,6 +10,7 @@ _MODULES = {
     "op3_toxicity": "toxicity",
     "op4_nearcopies": "nearcopies",
     "op5_chat": "chat",
+    "op6_neighbours": "neighbours",
     "op8_decontaminate": "decontaminate",
     "op9_sentencepieces": "sentencepieces",
     "op10_warc": "warc",
