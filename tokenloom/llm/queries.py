@@ -6,6 +6,7 @@ import importlib
 
 #: Module of each operator's query.
 _MODULES = {
+    "op1_secrets": "secrets",
     "op2_quality": "quality",
     "op3_toxicity": "toxicity",
     "op4_nearcopies": "nearcopies",
