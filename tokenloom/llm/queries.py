@@ -12,6 +12,7 @@ _MODULES = {
     "op4_nearcopies": "nearcopies",
     "op5_chat": "chat",
     "op6_neighbours": "neighbours",
+    "op7_lm": "lm",
     "op8_decontaminate": "decontaminate",
     "op9_sentencepieces": "sentencepieces",
     "op10_warc": "warc",
