@@ -309,6 +309,14 @@ def search_documents(docs: DataFrame, items: DataFrame, width: int = WINDOW, tex
     return docs.mapInArrow(work, docs.select("*", F.lit(None).cast(leak).alias(name)).schema)
 
 
+def remove_passages(docs: DataFrame, items: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs without the merged spans of hit words; sizes of changed texts are renewed."""
+    clean = search_documents(docs, items, text_col=text_col, clean=True)
+    if size_col not in docs.columns:
+        return clean
+    return clean.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where documents hold windows of benchmark items."""
     docs = common.renamed(common.table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")

@@ -5,12 +5,13 @@ blocks and flips one bit there, so two sketches differ in at most as many bits,
 and in at most as many blocks, as the sets differ in elements. B exceeds the
 largest difference that a link allows among documents of a size band; linked
 documents therefore agree in a whole block, and blocks (band, number, parity
-and XOR of the elements' hashes) are joined. Documents that share blocks with
-the same hub form a group; within it the bit distance of wider sketches rules
-out almost every pair, and what is left is verified on the sets. Groups of over
-GROUP documents are compared in pairs of parts, each a task of its own. Only a
-star of links for each part's components leaves a task; the components of all
-links follow by alternating star contraction.
+and XOR of the elements' hashes) are joined. Documents that share
+blocks with the same hub form a group, in which sizes and the bit distance of
+their sketches rule out almost every pair; each set then goes once to the group
+of all documents that the remaining pairs lead to, where links are verified.
+Groups of over GROUP documents are compared in pairs of parts, each a task of
+its own. Only a star of links for each task's components leaves it; the
+components of all links follow by alternating star contraction.
 
 Equal sets are one class and are joined once, so copies cost nothing; hashes of
 shingles and classes have 64 bits. Null and empty texts have an empty set, link
@@ -25,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm import common, words
 
-SHINGLE = 4
-PERCENT = 85
+SHINGLE = 5
+PERCENT = 80
 GROUP = 1024
+#: Bits of the sketches that candidates are compared by.
+SKETCH_BITS = 512
 #: Sizes of a band reach from one bound to this multiple of it.
 BAND = 1.5
 #: Rows up to which class ids are broadcast (16 bytes each).
@@ -138,17 +141,27 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def bit_sketches(value: np.ndarray, at: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """A row of 64-bit words for each set, in which every element flips one bit."""
+    n = len(at) - 1
+    bit = (words.mix(value + np.uint64(5)) % np.uint64(bits)).astype(np.int64)
+    flips = np.bincount(np.repeat(np.arange(n), np.diff(at)) * bits + bit, minlength=n * bits) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64)
+
+
 def set_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and the class of every document (null without shingles)."""
+    """doc_id, n_shingles, class and sketch of every document (null without shingles)."""
 
     def work(batches):
         for part in common.text_slices(batches, "text"):
-            _, at, cls = shingle_sets(part.column("text"), k)
+            value, at, cls = shingle_sets(part.column("text"), k)
             n = np.diff(at)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(n), "cls": pa.array(cls.view(np.int64), mask=n == 0)})
+            raw = bit_sketches(value, at)
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1] * 8), len(n), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(n), "cls": pa.array(cls.view(np.int64), mask=n == 0), "sketch": sketch})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, n_shingles bigint, cls bigint")
+    return docs.mapInArrow(work, f"doc_id {kind}, n_shingles bigint, cls bigint, sketch binary")
 
 
 class _Seen:
@@ -191,82 +204,98 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(work, "cls bigint, members binary")
 
 
-def compare(sets: list[np.ndarray], rule: Rule, side: np.ndarray | None = None) -> list[int]:
-    """For each set the smallest place that verified links connect it to.
+class _Roots:
+    """Union-find over places 0 to n - 1; the smallest place of a set stands for it."""
 
-    With side (0 or 1), only pairs of different sides are compared.
-    """
-    g = len(sets)
-    root = list(range(g))
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
-    size = np.array([len(s) for s in sets])
+    def join(self, i: int, j: int) -> None:
+        x, y = self.find(i), self.find(j)
+        self.root[max(x, y)] = min(x, y)
+
+    def all(self) -> list[int]:
+        return [self.find(i) for i in range(len(self.root))]
+
+
+def near_pairs(size: np.ndarray, sketch: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each place the partners whose size and bit distance allow a link; each pair once.
+
+    With side (0 or 1), only pairs of different sides.
+    """
     order = np.argsort(size, kind="stable")
-    size = size[order]
-    width = 64 * max(4, int(size[-1]) // 96 + 1)
-    if g > 2:
-        element = np.concatenate([sets[i] for i in order])
-        bit = (words.mix(element + np.uint64(5)) % np.uint64(width)).astype(np.int64)
-        flips = np.bincount(np.repeat(np.arange(g), size) * width + bit, minlength=g * width) & 1
-        sketch = np.packbits(flips.astype(np.uint8).reshape(g, width), axis=1).view(np.uint64)
+    size, sketch = size[order], sketch[order]
     sides = None if side is None else side[order]
-    for a in range(g - 1):
-        # sizes ascend: partners are at most size / similarity
-        top = int(np.searchsorted(size, size[a] * 100 // rule.percent, side="right"))
-        if top <= a + 1:
-            continue
-        other = np.arange(a + 1, top)
+    # sizes ascend: partners are at most size / similarity
+    tops = np.searchsorted(size, size * 100 // rule.percent, side="right")
+    for a in range(len(size) - 1):
+        other = np.arange(a + 1, int(tops[a]))
         if sides is not None:
             other = other[sides[other] != sides[a]]
-        if g > 2 and len(other):
+        if len(other):
             apart = np.bitwise_count(sketch[other] ^ sketch[a]).sum(1, dtype=np.int64)
             other = other[apart <= rule.most_apart(size[a] + size[other])]
-        i = int(order[a])
-        for b in other.tolist():
-            j = int(order[b])
-            x, y = find(i), find(j)
-            if x == y:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if rule.linked(both, len(sets[i]), len(sets[j])):
-                root[max(x, y)] = min(x, y)
-    return [find(i) for i in range(g)]
-
-
-def verified_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
-    """Star links (a, b) between classes whose components are those of all links."""
-    from pyspark.sql import Window
-
-    blocks = _block_rows(docs, k, percent)
-    by_key = Window.partitionBy("key")
-    shared = blocks.select("cls", F.min("cls").over(by_key).alias("hub"), F.max("cls").over(by_key).alias("top")).where("hub < top")
-    members = common.cut(shared.select("cls", "hub").distinct())
-    sized = members.groupBy("hub").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / group).cast("int")
-    # a part meets itself and every other part once
-    large = common.cut(sized.where(F.col("n") > group).withColumn("parts", parts).select("hub", "parts"))
+            if len(other):
+                yield int(order[a]), order[other]
+
+
+def possible_roots(size: np.ndarray, sketch: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> list[int]:
+    """For each place the smallest place that pairs which may be linked connect it to."""
+    roots = _Roots(len(size))
+    for i, others in near_pairs(size, sketch, rule, side):
+        for j in others.tolist():
+            roots.join(i, j)
+    return roots.all()
+
+
+def linked_roots(sets: list[np.ndarray], rule: Rule, side: np.ndarray | None = None) -> list[int]:
+    """For each set the smallest place that verified links connect it to."""
+    size = np.array([len(s) for s in sets])
+    roots = _Roots(len(sets))
+    if len(sets) > 1:
+        at = np.concatenate([[0], np.cumsum(size)])
+        sketch = bit_sketches(np.concatenate(sets), at, 64 * max(4, int(size.max()) // 96 + 1))
+        for i, others in near_pairs(size, sketch, rule, side):
+            for j in others.tolist():
+                if roots.find(i) != roots.find(j) and rule.linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
+                    roots.join(i, j)
+    return roots.all()
+
+
+def _placed(members: DataFrame, group: int) -> DataFrame:
+    """Members (cls, hub) with the tasks (hub, i, j) that they go to and the part (side) they are of.
+
+    A group of up to `group` members is one task; a larger one is dealt into parts, each of which
+    meets itself and every other part once.
+    """
+    large = common.cut(members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > group).select("hub", F.ceil(F.col("n") / group).cast("int").alias("parts")))
     placed = common.join_checked(members, large, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("cls", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-    wanted = common.cut(members.select("cls").distinct())
-    sets = common.cut(common.join_checked(_sets(docs, k), wanted, "cls", "left_semi", CLASS_ROWS).dropDuplicates(["cls"]))
-    tasks = placed.join(sets, "cls").select("hub", "i", "j", "side", "cls", "members")
+    return placed.select("cls", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
+
+
+def _links(tasks: DataFrame, percent: int, roots_of) -> DataFrame:
+    """Star links (a, b) of every task's components; tasks: hub, i, j, side, cls and payload columns."""
 
     def groups(batches) -> Iterator[tuple]:
         name, held = None, []
         for batch in batches:
-            for *key, side, cls, raw in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
+            # one class may come from several tasks of the step before
+            for *key, side, cls, payload in zip(*columns[:5], zip(*columns[5:])):
                 if key != name:
                     if held:
                         yield name, held
                     name, held = key, []
-                held.append((cls, side, np.frombuffer(raw, dtype=np.uint64)))
+                if not held or held[-1][0] != cls:
+                    held.append((cls, side, payload))
         if held:
             yield name, held
 
@@ -274,10 +303,8 @@ def verified_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, gr
         rule = Rule(percent)
         a, b = [], []
         for (_, i, j), held in groups(batches):
-            held.sort(key=lambda x: x[0])
             side = None if i == j else np.array([x[1] == j for x in held], dtype=np.int64)
-            root = compare([x[2] for x in held], rule, side)
-            for x, r in enumerate(root):
+            for x, r in enumerate(roots_of([x[2] for x in held], rule, side)):
                 if r != x:
                     a.append(held[x][0])
                     b.append(held[r][0])
@@ -286,8 +313,34 @@ def verified_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, gr
                 a, b = [], []
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    return dealt.mapInArrow(work, "a bigint, b bigint").distinct()
+    dealt = tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "cls")
+    return dealt.mapInArrow(work, "a bigint, b bigint")
+
+
+def _by_sketch(payloads, rule, side):
+    sketch = np.frombuffer(b"".join(p[1] for p in payloads), dtype=np.uint64).reshape(len(payloads), -1)
+    return possible_roots(np.array([p[0] for p in payloads]), sketch, rule, side)
+
+
+def _by_set(payloads, rule, side):
+    return linked_roots([np.frombuffer(p[0], dtype=np.uint64) for p in payloads], rule, side)
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+    """Star links (a, b) between classes whose components are those of all links.
+
+    classes: cls, n_shingles and sketch, in one row for each class.
+    """
+    by_key = Window.partitionBy("key")
+    shared = _block_rows(docs, k, percent).select("cls", F.min("cls").over(by_key).alias("hub"), F.max("cls").over(by_key).alias("top"))
+    members = common.cut(shared.where("hub < top").select("cls", "hub").distinct())
+    # classes of one hub share blocks; sizes and sketches leave the pairs that may be linked
+    tasks = _placed(members, group).join(classes, "cls").select("hub", "i", "j", "side", "cls", "n_shingles", "sketch")
+    possible = components(_links(tasks, percent, _by_sketch))
+    # each set goes once to the group of all that possible links lead to
+    placed = common.cut(_placed(possible.select(F.col("node").alias("cls"), F.col("root").alias("hub")), group))
+    tasks = common.join_checked(_sets(docs, k), placed, "cls", "inner", CLASS_ROWS).select("hub", "i", "j", "side", "cls", "members")
+    return _links(tasks, percent, _by_set)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -319,7 +372,8 @@ def group_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     """doc_id, n_shingles and component_id (the smallest id that links lead to) of every row."""
     plain = common.renamed(docs, doc_id=id_col, text=text_col)
     rows = common.cut(set_classes(plain, k))
-    roots = components(verified_links(plain, k, percent))
+    sketches = rows.where("cls is not null").groupBy("cls").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    roots = components(verified_links(plain, sketches, k, percent))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     placed = classes.join(roots, classes.cls == roots.node, "left").where("n > 1 or root is not null").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     placed = common.cut(placed)
@@ -341,4 +395,4 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
 
 def op4_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles are similar by 0.85 or more."""
-    return group_documents(common.table(spark, sf_dir, "documents"))
+    return group_documents(common.table(spark, sf_dir, "documents"), k=4, percent=85)
