@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 2 << 20
+#: Bytes and rows of text that one vectorised step works on.
+CHUNK_BYTES = 900_000
+CHUNK_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,14 +52,14 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
-def text_slices(batches, column: str = "text", max_bytes: int = CHUNK_BYTES):
-    """Record batches cut so that each holds about max_bytes of the text column, one row at least."""
+def text_slices(batches, column: str = "text", max_bytes: int = CHUNK_BYTES, max_rows: int = CHUNK_ROWS):
+    """Record batches cut so that each holds about max_bytes of the text column, one row at least and max_rows at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
         texts = batch.column(batch.schema.get_field_index(column))
         sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
-        group = np.cumsum(sizes) // max_bytes
+        group = np.cumsum(sizes) // max_bytes + (np.arange(len(sizes)) // max_rows << 32)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)

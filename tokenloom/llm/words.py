@@ -13,6 +13,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are hashed at once, unless one word is longer.
+_BLOCK = (1 << 20) - 1
 _POWERS: dict[str, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -67,14 +69,22 @@ def spans(flat: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE)
 
 
 def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(flat) + 1)
-    sums = np.empty(len(flat) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_CODES[flat] * up[: len(flat)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each byte span; starts and ends ascend."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    a = 0
+    while a < len(starts):
+        # a block of spans whose bytes fit the table of powers
+        low = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, low + _BLOCK, side="right")))
+        part = flat[low : int(ends[b - 1])]
+        up, down = _powers(len(part) + 1)
+        sums = np.empty(len(part) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(_CODES[part] * up[: len(part)], out=sums[1:])
+        at = starts[a:b] - low
+        out[a:b] = mix((sums[ends[a:b] - low] - sums[at]) * down[at])
+        a = b
+    return out
 
 
 def one_hash(word: bytes) -> int:
