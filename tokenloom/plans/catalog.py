@@ -1,13 +1,299 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the tokenizer operators, over the documents and embeddings tables.
+
+A vocabulary is derived from the documents: its size is a parameter, so it may
+be held on the driver and broadcast.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenloom.functions import numbers as num
+from tokenloom.functions import text as tx
+from tokenloom.operators import checks, coverage, parameters, prompts, tokens
+from tokenloom.operators import vocabulary as voc
+from tokenloom.operators.segment import Lexicon, sampled, segment_words, tokenize
+from tokenloom.plans import oracles
+
+#: Fixed rows of a small prompt registry: profile, name, slot.
+PROMPTS = [(p, n, s) for p in ("original", "full") for n, s in (("auto", 101), ("en", 0), ("en-US", 0), ("enGB", 1), ("en-GB", 1), ("hi", 6), ("hi-IN", 6), ("hi-HI", 6))] + [("full", "as-IN", 63), ("full", "or-IN", 78), ("latin", "auto", 101), ("latin", "en", 0)]
+#: Id sequences with every fault, for a vocabulary with blank 2001.
+SEQUENCES = [(1, [5, 6, 7]), (2, [5, 2001, 7]), (3, [-1, 3]), (4, [3, 2002]), (5, []), (6, None), (7, [3, None])]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """A small table of bounded size, computed once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _base(spark, sf_dir) -> DataFrame:
+    return _held(voc.base_vocabulary(_docs(spark, sf_dir)))
+
+
+def _profiles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    base = _base(spark, sf_dir)
+    return base, _held(voc.profile_vocabulary(base, voc.additions(_docs(spark, sf_dir))))
+
+
+def _lexicons(spark, sf_dir, names=("original", "latin")) -> dict[str, Lexicon]:
+    pieces = _profiles(spark, sf_dir)[1]
+    return {n: Lexicon.of(pieces.where(F.col("profile") == n)) for n in names}
+
+
+def vocab_topk(spark, sf_dir):
+    return voc.base_vocabulary(_docs(spark, sf_dir))
+
+
+def profile_active_vocab(spark, sf_dir):
+    return voc.active_vocabulary(_profiles(spark, sf_dir)[1])
+
+
+def profile_acoustic_vocab(spark, sf_dir):
+    return voc.acoustic_vocabulary(_profiles(spark, sf_dir)[1])
+
+
+def profile_summary(spark, sf_dir):
+    base, pieces = _profiles(spark, sf_dir)
+    return voc.summary(pieces, base)
+
+
+def placeholder_slots(spark, sf_dir):
+    return voc.inactive_by_spelling(_profiles(spark, sf_dir)[1]).select("profile", "id", "piece", "score", "type")
+
+
+def append_additions(spark, sf_dir):
+    return voc.append(_base(spark, sf_dir), voc.additions(_docs(spark, sf_dir))).where(F.col("id") > voc.BASE_PIECES)
+
+
+def row_map(spark, sf_dir):
+    base, pieces = _profiles(spark, sf_dir)
+    return voc.row_map(pieces, base)
+
+
+def inactive_anti_join(spark, sf_dir):
+    return voc.inactive_ids(_profiles(spark, sf_dir)[1])
+
+
+def distinct_spellings(spark, sf_dir):
+    return voc.spellings(_profiles(spark, sf_dir)[1])
+
+
+def symbol_restriction(spark, sf_dir):
+    base, pieces = _profiles(spark, sf_dir)
+    symbols = base.where("id % 10 = 1").select(F.explode(F.array(*(F.lit(p) for p in voc.PROFILES))).alias("profile"), "piece")
+    return voc.restricted_symbols(symbols, pieces)
+
+
+def segment_words_query(spark, sf_dir):
+    lexicon = Lexicon.of(_base(spark, sf_dir))
+    words = voc.word_counts(_docs(spark, sf_dir))
+    found = segment_words(words, lexicon, strict=True).where("path is not null")
+    return found.select("word", "score", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+def tokenize_documents(spark, sf_dir):
+    rows = tokenize(_docs(spark, sf_dir), _lexicons(spark, sf_dir, ("original",)))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("ids_sha256"))
+
+
+def detokenize_roundtrip(spark, sf_dir):
+    base = _base(spark, sf_dir)
+    rows = tokenize(_docs(spark, sf_dir), {"original": Lexicon.of(base)})
+    back = tokens.detokenized(F.col("ids"), tokens.spelling_table(base))
+    return rows.select("doc_id", F.array_contains("ids", 0).alias("has_unknown"), F.sha2(back, 256).alias("text_sha256")).where("not has_unknown").select("doc_id", "text_sha256")
+
+
+def token_lookup(spark, sf_dir):
+    words = voc.word_counts(_docs(spark, sf_dir)).select(F.col("word").alias("token"), "n")
+    return tokens.lookup_ids(words, _base(spark, sf_dir).select("piece", "id"))
+
+
+def id_lookup(spark, sf_dir):
+    return tokens.lookup_tokens(spark.range(-1, 2004).select(F.col("id").cast("int").alias("id")), _base(spark, sf_dir), voc.BASE_PIECES + 1)
+
+
+def ids_validate(spark, sf_dir):
+    pieces = _profiles(spark, sf_dir)[1].where("profile = 'latin'")
+    inactive = F.lit([r.id for r in pieces.where("not is_active").select("id").orderBy("id").collect()]).cast("array<int>")
+    some = pieces.where("not is_active").agg(F.min("id").alias("id")).select(F.lit(8).alias("row"), F.array("id").alias("ids"))
+    rows = spark.createDataFrame(SEQUENCES, "row int, ids array<int>").unionByName(some)
+    return rows.select("row", F.coalesce(tokens.id_faults(F.col("ids"), voc.BASE_PIECES + 1, inactive), F.lit("none")).alias("fault"))
+
+
+def coverage_by_lang(spark, sf_dir):
+    return coverage.by_group(_docs(spark, sf_dir), _lexicons(spark, sf_dir))
+
+
+def retokenize_required(spark, sf_dir):
+    return coverage.retokenization(_docs(spark, sf_dir), _lexicons(spark, sf_dir), "original", "latin")
+
+
+def dominated_pieces(spark, sf_dir):
+    # integer scores of whole pieces always beat sums of two, so the study uses scores that fall with frequency
+    return coverage.dominated(_scaled(spark, sf_dir))
+
+
+def _scaled(spark, sf_dir) -> DataFrame:
+    """The base with scores that favour common pieces enough for pieces to be dominated: minus the place in hundreds, rounded up."""
+    return _base(spark, sf_dir).where("id > 0").select("id", "piece", (-F.ceil(F.col("id") / 100)).cast("double").alias("score"), "type")
+
+
+def model_diff(spark, sf_dir):
+    pieces = _profiles(spark, sf_dir)[1]
+    of = lambda name: pieces.where(F.col("profile") == name)
+    return checks.model_diff(of("original"), of("latin-indic"))
+
+
+def profile_faults(spark, sf_dir):
+    base, pieces = _profiles(spark, sf_dir)
+    spoilt = pieces.where("profile = 'latin'").withColumn("score", F.when(F.col("id") % 500 == 3, F.col("score") + 0.125).otherwise(F.col("score")))
+    return checks.profile_faults(spoilt, base)
+
+
+def layout_faults(spark, sf_dir):
+    base, pieces = _profiles(spark, sf_dir)
+    mapped = voc.row_map(pieces, base).withColumn("target_id", F.when((F.col("profile") == "full") & (F.col("source_id") < 2), F.col("target_id") + 1).otherwise(F.col("target_id")))
+    expected = voc.summary(pieces, base).select("profile", (F.col("active") + F.when(F.col("profile") == "latin", 1).otherwise(0)).alias("active"))
+    return checks.layout_faults(pieces, mapped, expected)
+
+
+def donor_paths(spark, sf_dir):
+    paths, _, _ = _donors(spark, sf_dir)
+    return paths.select("added_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+def _donors(spark, sf_dir):
+    base, pieces = _profiles(spark, sf_dir)
+    target = pieces.where("profile = 'latin-indic'")
+    mapped = voc.row_map(target, base).select("source_id", "target_id")
+    donors = _held(parameters.donor_pieces(base, mapped, target))
+    return _held(parameters.donor_paths(parameters.added_ids(target, mapped), donors)), donors, mapped
+
+
+def donor_loads(spark, sf_dir):
+    paths, donors, _ = _donors(spark, sf_dir)
+    loads, unit = parameters.donor_loads(paths, donors)
+    return loads.select("donor_id", F.col("load").cast("string").alias("load"), F.lit(str(unit)).alias("unit"))
+
+
+def donor_cmax(spark, sf_dir):
+    paths, donors, _ = _donors(spark, sf_dir)
+    loads, unit = parameters.donor_loads(paths, donors)
+    report = parameters.donor_report(paths, loads, unit, 0.05)
+    return report.select("policy", "added", "exact", "fallback", F.col("cmax_units").cast("string").alias("cmax_units"), F.col("unit").cast("string").alias("unit"), F.round("shift", 9).alias("shift"))
+
+
+def _rows(spark, sf_dir) -> DataFrame:
+    """Embeddings as parameter rows by their order of ids: row_id is the vec_id."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.lit("embedding").alias("key"), F.col("vec_id").cast("int").alias("row_id"), F.col("embedding").alias("vec"))
+
+
+def _steps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Paths of added rows over embedding ids, by arithmetic: every eighth added row falls back to all donors."""
+    donors = _rows(spark, sf_dir).where("row_id % 2 = 0").select(F.col("row_id").alias("id"))
+    ids = F.when(F.col("id") % 8 == 0, F.array()).otherwise(F.array(F.col("id") % 7 * 2, F.col("id") % 5 * 4, F.col("id") % 7 * 2)).cast("array<int>")
+    paths = spark.range(64).select((F.col("id") + 1_000_000).cast("int").alias("added_id"), ids.alias("path"))
+    return paths, donors
+
+
+def donor_means(spark, sf_dir):
+    paths, donors = _steps(spark, sf_dir)
+    means = parameters.donor_means(_rows(spark, sf_dir), paths, donors)
+    return means.select("row_id", F.posexplode("vec").alias("dim", "x")).select("row_id", "dim", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))
+
+
+def _moved(spark, sf_dir):
+    params = _rows(spark, sf_dir)
+    mapped = params.select(F.col("row_id").alias("source_id"), (F.col("row_id") * 2 + 1).alias("target_id"))
+    initial = params.select("key", (F.col("row_id") * 2).alias("row_id"), "vec")
+    return params, mapped, parameters.transfer(params, mapped, initial)
+
+
+def transfer_rows(spark, sf_dir):
+    moved = _moved(spark, sf_dir)[2]
+    return moved.select("key", "row_id", F.round(F.col("vec")[0].cast("double"), 6).alias("first"), F.size("vec").alias("n"))
+
+
+def verify_transfer(spark, sf_dir):
+    params, mapped, moved = _moved(spark, sf_dir)
+    spoilt = moved.withColumn("vec", F.when(F.col("row_id") % 20 == 1, F.transform("vec", lambda x: x + 1)).otherwise(F.col("vec")))
+    return parameters.verify_transfer(params, mapped, spoilt)
+
+
+def failing_keys(spark, sf_dir):
+    return parameters.failing_keys(verify_transfer(spark, sf_dir))
+
+
+def finite_rows(spark, sf_dir):
+    rows = _rows(spark, sf_dir).withColumn("vec", F.when(F.col("row_id") % 50 == 7, F.array(F.lit(float("nan")))).when(F.col("row_id") % 50 == 9, F.lit(None)).otherwise(F.col("vec").cast("array<double>")))
+    return checks.value_faults(rows)
+
+
+def _logits(spark, sf_dir) -> DataFrame:
+    """Eight inputs against the forty outputs of lowest ids, none of them large enough to need a table."""
+    rows = _rows(spark, sf_dir)
+    inputs = rows.where("row_id < 8").select(F.col("row_id").alias("row"), F.col("vec").alias("x"))
+    weights = rows.where("row_id >= 8 and row_id < 48").select((F.col("row_id") - 8).alias("id"), F.col("vec").alias("w"), (F.col("row_id") / 100).alias("b"))
+    return parameters.output_logits(inputs, weights)
+
+
+def masked_logits(spark, sf_dir):
+    flags = spark.range(40).select(F.col("id").cast("int").alias("id"), (F.col("id") % 3 != 1).alias("is_active"))
+    return parameters.masked(_logits(spark, sf_dir), flags).select("row", "id", F.round("logit", 6).alias("logit"))
+
+
+def mass_ratio(spark, sf_dir):
+    return parameters.added_mass(_logits(spark, sf_dir), 30).select("row", F.round("ratio", 6).alias("ratio"))
+
+
+def log_partition(spark, sf_dir):
+    rows = _logits(spark, sf_dir).groupBy("row").agg(F.array_sort(F.collect_list("logit")).alias("v"))
+    return rows.select("row", F.round(num.log_sum_exp(F.col("v")), 6).alias("log_sum_exp"))
+
+
+def prompt_slots(spark, sf_dir):
+    return prompts.aliases(spark.createDataFrame(PROMPTS, "profile string, name string, slot int"))
+
+
+def unused_prompt_slots(spark, sf_dir):
+    return prompts.unused_slots(spark.createDataFrame(PROMPTS, "profile string, name string, slot int"))
+
+
+def content_digest(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.digest(F.coalesce("text", F.lit(""))).alias("sha256"))
+
+
+def normalized_text(spark, sf_dir):
+    wide = F.translate(F.coalesce(F.col("text"), F.lit("")), "aef", "ａｅﬁ")
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(tx.normalized(wide), 256).alias("text_sha256"))
+
+
+def sampled_segmentation(spark, sf_dir):
+    base = _base(spark, sf_dir)
+    rows = sampled(_docs(spark, sf_dir), Lexicon.of(base), alpha=0.001, seed=1)
+    return rows.select("doc_id", F.size("ids").alias("n_tokens"))
+
+
+_NAMES = {segment_words_query: "segment_words"}
+_ALL = [
+    coverage_by_lang, vocab_topk, profile_active_vocab, profile_acoustic_vocab, profile_summary, placeholder_slots, append_additions, row_map, inactive_anti_join, distinct_spellings, symbol_restriction,
+    segment_words_query, tokenize_documents, detokenize_roundtrip, token_lookup, id_lookup, ids_validate, retokenize_required, dominated_pieces, model_diff, profile_faults, layout_faults,
+    donor_paths, donor_loads, donor_cmax, donor_means, transfer_rows, verify_transfer, failing_keys, finite_rows, masked_logits, mass_ratio, log_partition, prompt_slots, unused_prompt_slots,
+    content_digest, normalized_text, sampled_segmentation,
+]
+
 
 def queries() -> dict:
     """Query functions by name."""
-    return {}
+    return {_NAMES.get(f, f.__name__): f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
-    return {}
+    return oracles.all_sql(PROMPTS, SEQUENCES)
