@@ -116,7 +116,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
 def _tree_sql(node, array: str) -> str:
     if node.getClass().getSimpleName() == "LeafNode":
         bad, good = (list(node.impurityStats().stats()) + [0.0])[:2]
-        return repr(float(good / max(bad + good, 1e-9)))
+        return f"{float(good / max(bad + good, 1e-9))!r}D"
     split = node.split()
     return f"if({array}[{split.featureIndex()}] <= {split.threshold()!r}D, {_tree_sql(node.leftChild(), array)}, {_tree_sql(node.rightChild(), array)})"
 
@@ -135,7 +135,7 @@ def fit_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed
 def forest_sql(model, array: str = "f") -> str:
     """The forest's mean share of secrets as SQL over an array of features."""
     parts = [f"({_tree_sql(t._java_obj.rootNode(), array)})" for t in model.trees]
-    return f"(({' + '.join(parts)}) / {len(parts)})"
+    return f"(({' + '.join(parts)}) / {len(parts)}D)"
 
 
 def scan(docs: DataFrame, model, text_col: str = "text", path_col: str | None = "source", least: float = SECRET) -> DataFrame:
