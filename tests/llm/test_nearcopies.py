@@ -94,8 +94,18 @@ def test_sketch_distance_never_exceeds_the_difference():
         assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(a, b))
 
 
-def test_linked_sets_share_a_block():
-    """The pigeonhole: whatever sets are linked, they have a key in common."""
+def test_wide_sketches_fold():
+    rng = np.random.default_rng(6)
+    a = np.unique(rng.integers(1, 1 << 62, 600, dtype=np.uint64))
+    wide = nearcopies.bit_sketches(a, np.array([0, len(a)]))[0]
+    assert len(wide) == 16
+    bit = nearcopies.words.mix(a + np.uint64(5)) & np.uint64(255)
+    half = np.bitwise_xor.reduce(wide.reshape(-1, 4), axis=0)
+    assert [(int(half[b // 64]) >> (b % 64)) & 1 for b in range(256)] == [int((bit == b).sum() & 1) for b in range(256)]
+
+
+def test_linked_sets_share_more_blocks_than_are_spare():
+    """The pigeonhole: whatever sets are linked, they agree in more than the spare blocks of some band."""
     rng = np.random.default_rng(4)
     rule = nearcopies.Rule(85)
     for n in [7, 8, 12, 13, 17, 25, 40, 90, 200, 700]:
@@ -109,8 +119,8 @@ def test_linked_sets_share_a_block():
                     break
                 b = c
             b = np.sort(b)
-            row, key = nearcopies.block_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), rule)
-            assert len(np.intersect1d(key[row == 0], key[row == 1]))
+            row, band, spare, key = nearcopies.block_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), rule)
+            assert any(len(np.intersect1d(key[(row == 0) & (band == x)], key[(row == 1) & (band == x)])) > spare[band == x][0] for x in set(band.tolist()))
 
 
 def test_components_of_chains_and_stars(spark):

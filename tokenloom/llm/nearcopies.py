@@ -3,9 +3,11 @@
 Documents are sets of word shingles. Each element of a set lands in one of B
 blocks and flips one bit there, so two sketches differ in at most as many bits,
 and in at most as many blocks, as the sets differ in elements. B exceeds the
-largest difference that a link allows among documents of a size band; linked
-documents therefore agree in a whole block, and blocks (band, number, parity
-and XOR of the elements' hashes) are joined. Documents that share
+largest difference that a link allows among documents of a size band by some
+spare blocks; linked documents therefore agree in more blocks than are spare,
+and blocks (band, number, parity and XOR of the elements' hashes) are joined.
+Blocks that many documents have may be left out where a document has no more
+of them than are spare, which loses no link. Documents that share
 blocks with the same hub form a group, in which sizes and the bit distance of
 their sketches rule out almost every pair; each set then goes once to the group
 of all documents that the remaining pairs lead to, where links are verified.
@@ -34,8 +36,10 @@ from tokenloom.llm import common, words
 SHINGLE = 5
 PERCENT = 80
 GROUP = 1024
-#: Bits of the sketches that candidates are compared by.
-SKETCH_BITS = 512
+#: Bits of the smallest sketches that candidates are compared by; larger sets have as many bits as members, to a power of two.
+SKETCH_BITS = 256
+#: Classes in a block from which it is common.
+COMMON = 4
 #: Sizes of a band reach from one bound to this multiple of it.
 BAND = 1.5
 #: Rows up to which class ids are broadcast (16 bytes each).
@@ -74,7 +78,7 @@ class Rule:
         near = (size > 0) & (100 * size >= self.percent * self.bounds[own + 1])
         row, band = np.concatenate([row[size > 0], row[near]]), np.concatenate([own[size > 0], own[near] + 1])
         apart = self.most_apart(2 * (self.bounds[band + 1] - 1))
-        spare = 1 + apart // 40
+        spare = 2 + apart // 12
         use = apart > 0  # otherwise only equal sets are linked
         return row[use], band[use], (apart + 1 + spare)[use], spare[use]
 
@@ -114,8 +118,8 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return value, at, words.mix(total + words.mix(np.diff(at).astype(np.uint64)))
 
 
-def block_keys(value: np.ndarray, at: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every block that each set joins by."""
+def block_keys(value: np.ndarray, at: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, band, spare, key) of every block of each set."""
     size = np.diff(at)
     row, band, blocks, spare = rule.bands(size)
     first = np.cumsum(blocks) - blocks
@@ -128,25 +132,41 @@ def block_keys(value: np.ndarray, at: np.ndarray, rule: Rule) -> tuple[np.ndarra
     np.bitwise_xor.at(parity, block, np.uint64(1) << (element & np.uint64(63)))
     np.bitwise_xor.at(xor, block, words.mix(element))
     owner = np.repeat(np.arange(len(row)), blocks)
-    empty = (parity == 0) & (xor == 0)
-    # more blocks agree than are empty, unless a set has more empty blocks than spare ones
-    many = np.bincount(owner[empty], minlength=len(row)) > spare
-    use = ~empty | many[owner]
     number = np.arange(total) - first[owner]
     key = words.mix(words.mix(parity) ^ xor ^ words.mix((band[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)))
-    return row[owner[use]], key[use]
+    return row[owner], band[owner], spare[owner], key
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def bit_sketches(value: np.ndarray, at: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    """A row of 64-bit words for each set, in which every element flips one bit."""
-    n = len(at) - 1
-    bit = (words.mix(value + np.uint64(5)) % np.uint64(bits)).astype(np.int64)
-    flips = np.bincount(np.repeat(np.arange(n), np.diff(at)) * bits + bit, minlength=n * bits) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64)
+def sketch_words(size: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketches of sets of these sizes."""
+    bits = np.maximum(SKETCH_BITS, size)
+    return (1 << np.ceil(np.log2(bits)).astype(np.int64)) // 64
+
+
+def bit_sketches(value: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For each set the words of a sketch in which every element flips one bit.
+
+    Its halves XORed are the set's sketch of half the width.
+    """
+    size = np.diff(at)
+    width = sketch_words(size)
+    out: list[np.ndarray] = [None] * len(size)  # type: ignore[list-item]
+    hashed = words.mix(value + np.uint64(5))
+    for w in np.unique(width).tolist():
+        of = np.flatnonzero(width == w)
+        bits = 64 * w
+        for k in range(0, len(of), max(1, (1 << 22) // bits)):
+            some = of[k : k + max(1, (1 << 22) // bits)]
+            bit = (hashed[common.ragged(size[some], at[:-1][some])] & np.uint64(bits - 1)).astype(np.int64)
+            flips = np.bincount(np.repeat(np.arange(len(some)), size[some]) * bits + bit, minlength=len(some) * bits) & 1
+            packed = np.packbits(flips.astype(np.uint8).reshape(len(some), bits), axis=1, bitorder="little").view(np.uint64)
+            for i, row in zip(some.tolist(), packed):
+                out[i] = row
+    return out
 
 
 def set_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -156,8 +176,7 @@ def set_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         for part in common.text_slices(batches, "text"):
             value, at, cls = shingle_sets(part.column("text"), k)
             n = np.diff(at)
-            raw = bit_sketches(value, at)
-            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1] * 8), len(n), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+            sketch = pa.array([x.tobytes() for x in bit_sketches(value, at)], pa.binary())
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(n), "cls": pa.array(cls.view(np.int64), mask=n == 0), "sketch": sketch})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -186,10 +205,10 @@ def _block_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
             value, at, cls = shingle_sets(part.column("text"), k)
             pick = seen.fresh(cls, np.diff(at))
             n = np.diff(at)[pick]
-            row, key = block_keys(value[common.ragged(n, at[:-1][pick])], np.concatenate([[0], np.cumsum(n)]), rule)
-            yield pa.RecordBatch.from_arrays([_signed(key), _signed(cls[pick][row])], names=["key", "cls"])
+            row, band, spare, key = block_keys(value[common.ragged(n, at[:-1][pick])], np.concatenate([[0], np.cumsum(n)]), rule)
+            yield pa.RecordBatch.from_arrays([_signed(key), _signed(cls[pick][row]), pa.array((band << 24 | spare).astype(np.int32))], names=["key", "cls", "place"])
 
-    return docs.select("text").mapInArrow(work, "key bigint, cls bigint")
+    return docs.select("text").mapInArrow(work, "key bigint, cls bigint, place int")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -224,31 +243,36 @@ class _Roots:
         return [self.find(i) for i in range(len(self.root))]
 
 
-def near_pairs(size: np.ndarray, sketch: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def near_pairs(size: np.ndarray, sketches: list[np.ndarray], rule: Rule, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each place the partners whose size and bit distance allow a link; each pair once.
 
     With side (0 or 1), only pairs of different sides.
     """
     order = np.argsort(size, kind="stable")
-    size, sketch = size[order], sketch[order]
+    size = size[order]
     sides = None if side is None else side[order]
+    width = sketch_words(size)
     # sizes ascend: partners are at most size / similarity
     tops = np.searchsorted(size, size * 100 // rule.percent, side="right")
-    for a in range(len(size) - 1):
-        other = np.arange(a + 1, int(tops[a]))
-        if sides is not None:
-            other = other[sides[other] != sides[a]]
-        if len(other):
-            apart = np.bitwise_count(sketch[other] ^ sketch[a]).sum(1, dtype=np.int64)
-            other = other[apart <= rule.most_apart(size[a] + size[other])]
+    for w in np.unique(width).tolist():
+        first, last = np.searchsorted(width, w), np.searchsorted(width, w, side="right")
+        end = int(tops[last - 1])
+        folded = np.stack([np.bitwise_xor.reduce(sketches[i].reshape(-1, w), axis=0) for i in order[first:end].tolist()])
+        for a in range(int(first), int(last)):
+            other = np.arange(a + 1, int(tops[a]))
+            if sides is not None:
+                other = other[sides[other] != sides[a]]
             if len(other):
-                yield int(order[a]), order[other]
+                apart = np.bitwise_count(folded[other - first] ^ folded[a - first]).sum(1, dtype=np.int64)
+                other = other[apart <= rule.most_apart(size[a] + size[other])]
+                if len(other):
+                    yield int(order[a]), order[other]
 
 
-def possible_roots(size: np.ndarray, sketch: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> list[int]:
+def possible_roots(size: np.ndarray, sketches: list[np.ndarray], rule: Rule, side: np.ndarray | None = None) -> list[int]:
     """For each place the smallest place that pairs which may be linked connect it to."""
     roots = _Roots(len(size))
-    for i, others in near_pairs(size, sketch, rule, side):
+    for i, others in near_pairs(size, sketches, rule, side):
         for j in others.tolist():
             roots.join(i, j)
     return roots.all()
@@ -260,8 +284,7 @@ def linked_roots(sets: list[np.ndarray], rule: Rule, side: np.ndarray | None = N
     roots = _Roots(len(sets))
     if len(sets) > 1:
         at = np.concatenate([[0], np.cumsum(size)])
-        sketch = bit_sketches(np.concatenate(sets), at, 64 * max(4, int(size.max()) // 96 + 1))
-        for i, others in near_pairs(size, sketch, rule, side):
+        for i, others in near_pairs(size, bit_sketches(np.concatenate(sets), at), rule, side):
             for j in others.tolist():
                 if roots.find(i) != roots.find(j) and rule.linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
                     roots.join(i, j)
@@ -318,8 +341,8 @@ def _links(tasks: DataFrame, percent: int, roots_of) -> DataFrame:
 
 
 def _by_sketch(payloads, rule, side):
-    sketch = np.frombuffer(b"".join(p[1] for p in payloads), dtype=np.uint64).reshape(len(payloads), -1)
-    return possible_roots(np.array([p[0] for p in payloads]), sketch, rule, side)
+    sketches = [np.frombuffer(p[1], dtype=np.uint64) for p in payloads]
+    return possible_roots(np.array([p[0] for p in payloads]), sketches, rule, side)
 
 
 def _by_set(payloads, rule, side):
@@ -332,8 +355,14 @@ def verified_links(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percen
     classes: cls, n_shingles and sketch, in one row for each class.
     """
     by_key = Window.partitionBy("key")
-    shared = _block_rows(docs, k, percent).select("cls", F.min("cls").over(by_key).alias("hub"), F.max("cls").over(by_key).alias("top"))
-    members = common.cut(shared.where("hub < top").select("cls", "hub").distinct())
+    blocks = _block_rows(docs, k, percent)
+    shared = blocks.select("cls", "place", F.min("cls").over(by_key).alias("hub"), F.max("cls").over(by_key).alias("top"), F.count("*").over(by_key).alias("n"))
+    shared = common.cut(shared.where("hub < top").select("cls", "place", "hub", (F.col("n") > COMMON).alias("common")))
+    # linked classes agree in more blocks than are spare. One with no more common blocks than that
+    # agrees in a rare one, so its common ones (passages that many texts hold, empty blocks) can go.
+    # One with more, say of a large group of copies, keeps them all; so no link is lost.
+    much = shared.where("common").withColumn("times", F.count("*").over(Window.partitionBy("cls", "place"))).where(F.col("times") > F.col("place").bitwiseAND(0xFFFFFF))
+    members = common.cut(shared.where("not common").select("cls", "hub").unionByName(much.select("cls", "hub")).distinct())
     # classes of one hub share blocks; sizes and sketches leave the pairs that may be linked
     tasks = _placed(members, group).join(classes, "cls").select("hub", "i", "j", "side", "cls", "n_shingles", "sketch")
     possible = components(_links(tasks, percent, _by_sketch))
@@ -396,3 +425,22 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
 def op4_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles are similar by 0.85 or more."""
     return group_documents(common.table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+#: All pairs that share a shingle are counted, links followed to their ends.
+ORACLE_SQL = r"""
+WITH RECURSIVE split AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS s
+  FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS i FROM split WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM sets GROUP BY r),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS k FROM sets x JOIN sets y ON x.s = y.s AND x.r <> y.r GROUP BY 1, 2) p
+  JOIN sizes m ON m.r = a JOIN sizes n ON n.r = b WHERE 100 * k >= 85 * (m.n + n.n - k)),
+reach(a, b) AS (SELECT r, r FROM split UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(e.doc_id) AS component_id
+FROM split d JOIN reach ON reach.a = d.r JOIN split e ON e.r = reach.b LEFT JOIN sizes z ON z.r = d.r GROUP BY d.r, d.doc_id
+"""
