@@ -183,7 +183,12 @@ def all_sql(prompts: list[tuple], sequences: list[tuple]) -> dict[str, str]:
             FROM (SELECT * FROM pieces WHERE profile = 'original') a FULL JOIN (SELECT * FROM pieces WHERE profile = 'latin-indic') b ON a.id = b.id
             WHERE a.id IS NULL OR b.id IS NULL OR a.piece <> b.piece OR a.score <> b.score OR a.type <> b.type""",
         "profile_faults": f"""WITH {_PROFILES} SELECT p.id, CASE WHEN p.type = 5 THEN 'placeholder' ELSE 'changed' END AS fault FROM pieces p WHERE p.profile = 'latin' AND p.id % 500 = 3""",
-        "layout_faults": "SELECT * FROM (VALUES ('latin', 'active'), ('full', 'map')) t(profile, fault)",
+        "layout_faults": f"""WITH {_PROFILES},{_ROW_MAP},
+            m AS (SELECT profile, count(*) FILTER (source_id <> t) AS moved, arg_max(t, source_id) AS last, count(*) AS n, max(source_id) AS high
+                  FROM (SELECT *, target_id + CASE WHEN profile = 'full' AND source_id < 2 THEN 1 ELSE 0 END AS t FROM row_maps) GROUP BY profile),
+            f AS (SELECT profile, count(*) AS slots, max(blank_id) AS blank, count(*) FILTER (is_active) AS active, count(*) FILTER (is_active) + CASE WHEN profile = 'latin' THEN 1 ELSE 0 END AS wanted FROM pieces GROUP BY profile)
+            SELECT profile, unnest(list_filter([CASE WHEN blank <> slots THEN 'blank' END, CASE WHEN active <> wanted THEN 'active' END, CASE WHEN n <> high + 1 OR moved > 1 THEN 'map' END, CASE WHEN last <> blank THEN 'mapped blank' END], lambda x: x IS NOT NULL)) AS fault
+            FROM f JOIN m USING (profile)""",
         "donor_paths": f"WITH RECURSIVE {_DONORS} SELECT added_id, array_to_string(path, ',') AS path FROM paths",
         "donor_loads": f"WITH RECURSIVE {_DONORS},{_LOADS} SELECT donor_id, CAST(load AS VARCHAR) AS load, (SELECT CAST(unit AS VARCHAR) FROM units) AS unit FROM loads",
         "donor_cmax": f"""WITH RECURSIVE {_DONORS},{_LOADS} SELECT 'retained_text_donor_mean_bound_v1' AS policy, added, added - fallbacks AS exact, fallbacks AS fallback, CAST(m AS VARCHAR) AS cmax_units, CAST(unit AS VARCHAR) AS unit,
