@@ -10,7 +10,7 @@ def test_machine_learns_a_pair_that_adds_up_to_nothing():
     rng = np.random.default_rng(1)
     rows, label = [], []
     for _ in range(3000):
-        a, b = rng.random(2) < 0.5
+        a, b = map(int, rng.random(2) < 0.5)
         noise = rng.choice(np.arange(100, 160), 8, replace=False)
         rows.append(np.sort(np.concatenate([noise, [7] * a, [9] * b])).astype(np.int64))
         label.append(int(a == b))
