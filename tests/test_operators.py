@@ -230,3 +230,25 @@ def test_segment_words_gives_null_where_nothing_fits(spark):
     words = spark.createDataFrame([("aba",), ("zz",), (None,)], "word string")
     got = {r.word: r.path for r in segment_words(words, lexicon(TOY), strict=True).collect()}
     assert got == {"aba": [3, 4, 3], "zz": None, None: None}
+
+
+def test_registered_functions(spark):
+    from tokenloom.functions.registry import register
+
+    spell = [p for _, p, _, _ in TOY]
+    assert register(spark, lexicon(TOY), spell) == register(spark, lexicon(TOY), spell)
+    row = spark.sql("SELECT loom_ids(t) AS i, loom_tokens(t) AS k, loom_text(loom_ids(t)) AS x FROM VALUES ('ab  a') AS v(t)").first()
+    assert row.i == [2, 3, 4, 2, 3] and row.k == ["▁", "a", "b", "▁", "a"] and row.x == "ab a"
+    assert spark.sql("SELECT loom_ids(cast(null AS string)) AS i").first().i == []
+
+
+def test_network_shapes(spark):
+    def rows(**sizes):
+        return spark.createDataFrame([(k, i, [1.0] * w) for k, (n, w) in sizes.items() for i in range(n)], "key string, row_id int, vec array<float>")
+
+    faults = lambda df, bias="b", outputs=4: {(r.key, r.fault) for r in checks.network_faults(df, "e", "w", bias, 3, outputs).collect()}
+    assert faults(rows(e=(4, 2), w=(4, 3), b=(4, 1))) == set()
+    assert faults(rows(e=(4, 2), w=(4, 3)), None) == set()
+    assert faults(rows(e=(3, 2), w=(4, 3), b=(4, 2))) == {("e", "rows"), ("b", "width")}
+    assert faults(rows(e=(4, 2), w=(5, 3), b=(5, 1)), outputs=5) == {("w", "outputs"), ("b", "outputs")}
+    assert faults(rows(e=(4, 2))) == {("w", "missing"), ("b", "missing")}

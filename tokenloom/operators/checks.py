@@ -120,3 +120,23 @@ def digest_faults(files: DataFrame, expected: DataFrame) -> DataFrame:
     joined = files.select("name", F.col("sha256").alias("got")).join(expected.select("name", "sha256"), "name", "full_outer")
     fault = F.when(F.col("got").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when(F.col("got") != F.col("sha256"), "digest")
     return joined.select("name", fault.alias("fault")).where("fault is not null")
+
+
+def network_faults(params: DataFrame, embedding: str, weight: str, bias: str | None, blank: int, outputs: int) -> DataFrame:
+    """key and fault of a transducer's vocabulary parameters.
+
+    The embedding has a row for every piece and the blank as its padding; the
+    output layer has `outputs` rows and none beyond the blank; the bias, if
+    there is one, as many of one value each.
+    """
+    spark = params.sparkSession
+    wanted = [(embedding, blank + 1, None), (weight, outputs, None)] + ([(bias, outputs, 1)] if bias else [])
+    want = spark.createDataFrame(wanted, "key string, rows long, width int")
+    got = params.groupBy("key").agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.countDistinct("row_id").alias("ids"), F.min(F.size("vec")).alias("thin"), F.max(F.size("vec")).alias("wide"))
+    fault = (
+        F.when(F.col("n").isNull(), "missing")
+        .when((F.col("rows") != blank + 1), "outputs")
+        .when((F.col("n") != F.col("rows")) | (F.col("low") != 0) | (F.col("high") != F.col("rows") - 1) | (F.col("ids") != F.col("n")), "rows")
+        .when((F.col("thin") != F.col("wide")) | (F.col("width").isNotNull() & (F.col("wide") != F.col("width"))), "width")
+    )
+    return want.join(got, "key", "left").select("key", fault.alias("fault")).where("fault is not null")

@@ -280,12 +280,70 @@ def sampled_segmentation(spark, sf_dir):
     return rows.select("doc_id", F.size("ids").alias("n_tokens"))
 
 
+def document_tokens(spark, sf_dir):
+    base = _base(spark, sf_dir)
+    rows = tokenize(_docs(spark, sf_dir), {"original": Lexicon.of(base)})
+    spelt = tokens.token_texts(F.col("ids"), F.lit([r.piece for r in base.orderBy("id").collect()]))
+    return rows.select("doc_id", F.sha2(F.array_join(spelt, " "), 256).alias("tokens_sha256"))
+
+
+def token_sequences(spark, sf_dir):
+    # the pieces of every word that is one piece, without the commonest
+    base = _base(spark, sf_dir)
+    words = voc.word_counts(_docs(spark, sf_dir)).join(F.broadcast(base.select(F.col("piece").alias("word"))), "word", "left_semi")
+    rows = words.select(F.col("word").alias("k"), F.array("word", F.lit("▁"), F.substring("word", 1, 2)).alias("tokens"))
+    found = tokens.sequence_ids(rows.join(F.broadcast(base.select(F.col("piece").alias("p"))), F.col("tokens")[2] == F.col("p"), "left_semi"), base, "k", skip=("▁",))
+    return found.select("k", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+def addition_faults(spark, sf_dir):
+    base, added = _base(spark, sf_dir), _held(voc.additions(_docs(spark, sf_dir)))
+    spoilt = voc.append(base, added.where("ord <> 499")).withColumn("piece", F.when(F.col("id") % 100 == 5, F.concat("piece", F.lit("x"))).otherwise(F.col("piece")))
+    return checks.addition_faults(spoilt, added, voc.BASE_PIECES + 1)
+
+
+def donor_faults(spark, sf_dir):
+    spoilt = _base(spark, sf_dir).withColumns(
+        {
+            "score": F.when(F.col("id") % 400 == 2, float("inf")).otherwise(F.col("score")),
+            "piece": F.when(F.col("id") == 7, "").when(F.col("id") % 700 == 9, "same").otherwise(F.col("piece")),
+        }
+    )
+    return checks.donor_faults(spoilt)
+
+
+def row_map_faults(spark, sf_dir):
+    base, pieces = _profiles(spark, sf_dir)
+    mapped = voc.row_map(pieces.where("profile = 'full'"), base).where("source_id <> 11")
+    spoilt = mapped.withColumn("target_id", F.when(F.col("source_id") % 600 == 3, None).otherwise(F.col("target_id")))
+    return checks.row_map_faults(spoilt, voc.BASE_PIECES + 1, voc.BASE_PIECES + voc.ADDED_PIECES + 1)
+
+
+def shape_faults(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    old = rows.unionByName(rows.withColumn("key", F.lit("fixed"))).unionByName(rows.withColumn("key", F.lit("gone")))
+    new = rows.where("row_id % 2 = 0").unionByName(rows.where("row_id > 0").withColumn("key", F.lit("fixed"))).unionByName(rows.select(F.lit("thin").alias("key"), "row_id", F.slice("vec", 1, 3).alias("vec")))
+    return checks.shape_faults(old, new, ("embedding",))
+
+
+def network_faults(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    n = rows.agg(F.max("row_id").alias("n")).first().n
+    bias = rows.select(F.lit("bias").alias("key"), "row_id", F.slice("vec", 1, 2).alias("vec"))
+    return checks.network_faults(rows.unionByName(bias), "embedding", "weight", "bias", n, n + 1)
+
+
+def same_dictionary(spark, sf_dir):
+    rows = spark.createDataFrame(PROMPTS, "profile string, name string, slot int")
+    return checks.same_dictionary(rows.where("profile = 'original'"), rows.where("profile = 'full' and name <> 'hi'"))
+
+
 _NAMES = {segment_words_query: "segment_words"}
 _ALL = [
     coverage_by_lang, vocab_topk, profile_active_vocab, profile_acoustic_vocab, profile_summary, placeholder_slots, append_additions, row_map, inactive_anti_join, distinct_spellings, symbol_restriction,
     segment_words_query, tokenize_documents, detokenize_roundtrip, token_lookup, id_lookup, ids_validate, retokenize_required, dominated_pieces, model_diff, profile_faults, layout_faults,
     donor_paths, donor_loads, donor_cmax, donor_means, transfer_rows, verify_transfer, failing_keys, finite_rows, masked_logits, mass_ratio, log_partition, prompt_slots, unused_prompt_slots,
-    content_digest, normalized_text, sampled_segmentation,
+    document_tokens, token_sequences, addition_faults, donor_faults, row_map_faults, shape_faults, network_faults, same_dictionary, content_digest, normalized_text, sampled_segmentation,
 ]
 
 

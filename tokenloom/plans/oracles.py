@@ -205,6 +205,20 @@ def all_sql(prompts: list[tuple], sequences: list[tuple]) -> dict[str, str]:
         "log_partition": f"WITH {_LOGITS} SELECT row, round(ln(sum(exp(logit))), 6) AS log_sum_exp FROM logits GROUP BY row",
         "prompt_slots": f"SELECT profile, CAST(slot AS INTEGER) AS slot, count(*) AS n_names, string_agg(name, ',' ORDER BY name) AS names FROM {registry} GROUP BY profile, slot",
         "unused_prompt_slots": f"SELECT DISTINCT t.profile, CAST(i AS INTEGER) AS slot FROM {registry}, range(128) u(i) WHERE (t.profile, i) NOT IN (SELECT (profile, slot) FROM {registry})",
+        "document_tokens": f"""WITH RECURSIVE {_PROFILES},{_ALL_WORDS},{_paths('one', 'SELECT DISTINCT word FROM parts', _NORMAL.format('original'), True)},{_tokens('one')}
+            SELECT any_value(d.doc_id) AS doc_id, sha256(coalesce(string_agg(b.piece, ' ' ORDER BY k), '')) AS tokens_sha256
+            FROM one_i d LEFT JOIN (SELECT row, unnest(ids) AS id, generate_subscripts(ids, 1) AS k FROM one_i) x USING (row) LEFT JOIN base b USING (id) GROUP BY row""",
+        "token_sequences": f"WITH {_BASE} SELECT w.word AS k, b.id || ',' || c.id AS ids FROM words w JOIN base b ON b.piece = w.word JOIN base c ON c.piece = substr(w.word, 1, 2)",
+        "addition_faults": f"WITH {_PROFILES} SELECT ord, CASE WHEN ord = 499 THEN 'missing' ELSE 'changed' END AS fault FROM added, base_size WHERE ord = 499 OR (s + ord) % 100 = 5",
+        "donor_faults": f"""WITH {_BASE} SELECT * FROM (
+            SELECT CASE WHEN id % 700 = 9 THEN 'same' ELSE piece END AS piece, 'score' AS fault FROM base WHERE id % 400 = 2 AND id <> 7
+            UNION ALL SELECT '', 'empty' UNION ALL SELECT 'same', 'double')""",
+        "row_map_faults": f"WITH {_PROFILES},{_ROW_MAP} SELECT source_id, CASE WHEN source_id = 11 THEN 'missing' ELSE 'target' END AS fault FROM row_maps WHERE profile = 'full' AND (source_id = 11 OR source_id % 600 = 3)",
+        "shape_faults": "SELECT * FROM (SELECT 'fixed' AS key, 'rows' AS fault FROM embeddings WHERE vec_id = 0 UNION ALL SELECT 'gone', 'missing' UNION ALL SELECT 'thin', 'missing')",
+        "network_faults": "SELECT 'weight' AS key, 'missing' AS fault UNION ALL SELECT DISTINCT 'bias', 'width' FROM embeddings WHERE len(embedding) > 1",
+        "same_dictionary": f"""SELECT name, CAST(slot AS INTEGER) AS slot, side FROM (
+            SELECT name, slot, 'left' AS side FROM {registry} WHERE profile = 'original' AND (name, slot) NOT IN (SELECT (name, slot) FROM {registry} WHERE profile = 'full' AND name <> 'hi')
+            UNION ALL SELECT name, slot, 'right' FROM {registry} WHERE profile = 'full' AND name <> 'hi' AND (name, slot) NOT IN (SELECT (name, slot) FROM {registry} WHERE profile = 'original'))""",
         "content_digest": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
         "normalized_text": "SELECT doc_id, sha256(replace(coalesce(text, ''), 'f', 'fi')) AS text_sha256 FROM documents",
     }
