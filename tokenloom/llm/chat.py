@@ -136,7 +136,7 @@ def format_conversations(rows: DataFrame, model: bytes, part_chars: int = PART_C
         if ready:
             yield coded(ready)
 
-    return dealt.mapInArrow(work, "conv_id bigint, part int, formatted string, input_ids array<int>, loss_mask array<boolean>, token_start array<int>, token_end array<int>")
+    return dealt.transform(common.batches, work, "conv_id bigint, part int, formatted string, input_ids array<int>, loss_mask array<boolean>, token_start array<int>, token_end array<int>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, _READ)
 
-    return formatted.mapInArrow(work, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, n_loss_tokens bigint")
+    return formatted.transform(common.batches, work, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, n_loss_tokens bigint")
 
 
 _READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_loss_tokens", pa.int64())])

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes and rows of text that one vectorised step works on.
 CHUNK_BYTES = 900_000
 CHUNK_ROWS = 4096
+#: Bytes of a batch between Spark and Python.
+BATCH_BYTES = 2 << 20
+_CUTS: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +46,45 @@ def cut(df: DataFrame) -> DataFrame:
     computes its input a second time to write it, this computes it once.
     """
     path = fresh_path(df.sparkSession, "cut")
+    _CUTS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_cuts(spark: SparkSession) -> None:
+    """Delete the tables that cut() wrote in this session, once nothing that reads them is to run any more."""
+    for path in _CUTS:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _CUTS.clear()
+
+
+def _returned() -> None:
+    """Give freed memory back: workers are used again, by other tasks and operators."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
+def batches(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, so that wide rows don't fill a task's memory."""
+
+    def tidy(found):
+        try:
+            yield from work(found)
+        finally:
+            _returned()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(tidy, schema)
+
+
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; clashing extra columns are left behind."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
@@ -82,6 +120,17 @@ def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def lowest_hashes(df: DataFrame, total: int, most: int, *key: str) -> DataFrame:
+    """At most `most` rows of df, which has about `total`: those whose key hashes lowest, equal keys once.
+
+    A threshold leaves about twice as many, so only so many rows are sorted, whatever df holds.
+    """
+    share = min(1.0, (2.0 * most + 100) / max(total, 1))
+    line = min(-(1 << 63) + int((1 << 64) * share), (1 << 63) - 1)
+    few = df.withColumn("__h", F.xxhash64(*key)).where(F.col("__h") <= line).dropDuplicates(["__h"])
+    return few.orderBy("__h").limit(most).drop("__h")
+
+
 #: Rows up to which a counted table may be broadcast.
 BROADCAST_ROWS = 100_000
 

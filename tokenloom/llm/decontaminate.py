@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm import common, words
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE = 8
 #: Words of test items in one broadcast; more items are searched block by block.
 BLOCK_WORDS = 1 << 20
@@ -304,9 +304,9 @@ def search_documents(docs: DataFrame, items: DataFrame, width: int = WINDOW, tex
                 yield pa.RecordBatch.from_arrays([*shard.columns, pa.array(leaks, kind)], names=[*shard.schema.names, name])
 
     if clean:
-        return docs.mapInArrow(work, docs.schema)
+        return docs.transform(common.batches, work, docs.schema)
     leak = "struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, spans: array<struct<begin: bigint, end: bigint>>>"
-    return docs.mapInArrow(work, docs.select("*", F.lit(None).cast(leak).alias(name)).schema)
+    return docs.transform(common.batches, work, docs.select("*", F.lit(None).cast(leak).alias(name)).schema)
 
 
 def remove_passages(docs: DataFrame, items: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:

@@ -211,7 +211,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             h, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-    return docs.select("text").mapInArrow(work, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text").transform(common.batches, work, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, warm_docs: int = WARM_DOCS) -> Model
             raw = cls.tobytes()
             yield pa.RecordBatch.from_pydict({"cls": pa.array([raw[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())})
 
-    first = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(warm_docs).mapInArrow(listed, "cls binary").collect()
+    first = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(warm_docs).transform(common.batches, listed, "cls binary").collect()
     lists = [np.frombuffer(r.cls, dtype=np.uint8) for r in first]
     target = np.concatenate(lists)
     context = contexts(target, np.concatenate([[0], np.cumsum([len(x) for x in lists])]))
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, warm_docs: int = WARM_DOCS) -> Model
             x = own.flat()
             yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(x), dtype=np.int32)), "x": pa.array(x * n), "n": pa.array(np.full(len(x), n, np.int64))})
 
-    got = docs.select("text").mapInArrow(refined, "at int, x double, n bigint").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").toArrow()
+    got = docs.select("text").transform(common.batches, refined, "at int, x double, n bigint").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").toArrow()
     return Model.of_flat(np.asarray(got["x"].combine_chunks()))
 
 
@@ -321,7 +321,7 @@ def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -
             )
             row += part.num_rows
 
-    rows = common.cut(docs.select("doc_id", "text", "held_out").mapInArrow(work, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, near bigint, base double, model double, others bigint, other double, h array<bigint>, times array<bigint>"))
+    rows = common.cut(docs.select("doc_id", "text", "held_out").transform(common.batches, work, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, near bigint, base double, model double, others bigint, other double, h array<bigint>, times array<bigint>"))
     far = rows.select("row", F.explode(F.arrays_zip("h", "times")).alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.times").alias("times"))
     far = far.join(counts, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("far"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("far_base"))
     done = rows.drop("h", "times").join(far, "row", "left").na.fill(0, ["far", "far_base"])

@@ -180,7 +180,7 @@ def set_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_shingles": pa.array(n), "cls": pa.array(cls.view(np.int64), mask=n == 0), "sketch": sketch})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, n_shingles bigint, cls bigint, sketch binary")
+    return docs.transform(common.batches, work, f"doc_id {kind}, n_shingles bigint, cls bigint, sketch binary")
 
 
 class _Seen:
@@ -208,7 +208,7 @@ def _block_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
             row, band, spare, key = block_keys(value[common.ragged(n, at[:-1][pick])], np.concatenate([[0], np.cumsum(n)]), rule)
             yield pa.RecordBatch.from_arrays([_signed(key), _signed(cls[pick][row]), pa.array((band << 24 | spare).astype(np.int32))], names=["key", "cls", "place"])
 
-    return docs.select("text").mapInArrow(work, "key bigint, cls bigint, place int")
+    return docs.select("text").transform(common.batches, work, "key bigint, cls bigint, place int")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             raw = value.tobytes()
             yield pa.RecordBatch.from_pydict({"cls": _signed(cls[pick]), "members": pa.array([raw[8 * at[i] : 8 * at[i + 1]] for i in pick.tolist()], pa.binary())})
 
-    return docs.select("text").mapInArrow(work, "cls bigint, members binary")
+    return docs.select("text").transform(common.batches, work, "cls bigint, members binary")
 
 
 class _Roots:
@@ -337,7 +337,7 @@ def _links(tasks: DataFrame, percent: int, roots_of) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "cls")
-    return dealt.mapInArrow(work, "a bigint, b bigint")
+    return dealt.transform(common.batches, work, "a bigint, b bigint")
 
 
 def _by_sketch(payloads, rule, side):

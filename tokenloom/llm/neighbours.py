@@ -144,7 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     at = [float(i) / n_blocks for i in range(1, n_blocks)]
     bounds = {}
     if at:
-        found = distinct.select("vec").mapInArrow(keyed, "o int, key bigint").groupBy("o").agg(F.percentile_approx("key", at, 10_000).alias("b")).collect()
+        found = distinct.select("vec").transform(common.batches, keyed, "o int, key bigint").groupBy("o").agg(F.percentile_approx("key", at, 10_000).alias("b")).collect()
         bounds = {r.o: np.array(r.b, dtype=np.int64) for r in found}
     shared = spark.sparkContext.broadcast((curves, bounds))
     kind = "o int, block int, asked int, id bigint, ids array<bigint>, vec array<double>"
@@ -172,7 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     part, n = batch.take(pa.array(take)), len(take)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, o, np.int32)), pa.array((middle + d)[take].astype(np.int32)), pa.array(np.ones(n, np.int32)), part.column(1), pa.nulls(n, pa.list_(pa.int64())), part.column(0)], schema=layout)
 
-    table = distinct.select("vec", "ids").mapInArrow(placed, kind).unionByName(asked.select("vec", "id").mapInArrow(visiting, kind))
+    table = distinct.select("vec", "ids").transform(common.batches, placed, kind).unionByName(asked.select("vec", "id").transform(common.batches, visiting, kind))
     dealt = table.repartition("o", "block").sortWithinPartitions("o", "block", "asked")
 
     def answered(batches):
@@ -218,7 +218,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             v += [x[1] for x in near]
         return pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    near = dealt.mapInArrow(answered, _OUT).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    near = dealt.transform(common.batches, answered, _OUT).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -203,7 +203,7 @@ def vote_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 total[c] = total.get(c, 0) + k
         yield pa.RecordBatch.from_pydict({"code": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
 
-    found = docs.select("text").mapInArrow(work, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    found = docs.select("text").transform(common.batches, work, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     code = np.array([r.code for r in found], dtype=np.int64)
     pattern = (code[:, None] // 3 ** np.arange(len(LABELLERS))) % 3 - 1
     return pattern.reshape(-1, len(LABELLERS)), np.array([r.n for r in found], dtype=np.int64)
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[float, np.ndarra
                 }
             )
 
-    rows = sample.mapInArrow(work, "h bigint, code int, bucket binary, value binary")
+    rows = sample.transform(common.batches, work, "h bigint, code int, bucket binary, value binary")
     got = rows.groupBy("h").agg(F.min(F.struct("code", "bucket", "value")).alias("r")).orderBy("h").limit(train_rows).select("r.*").toArrow()
     bucket = [np.frombuffer(x, "<i4") for x in got["bucket"].to_pylist()]
     value = [np.frombuffer(x, "<f4") for x in got["value"].to_pylist()]
@@ -261,7 +261,7 @@ def score(docs: DataFrame, scorer: tuple[float, np.ndarray]) -> DataFrame:
             z = bias + np.bincount(doc, weights=weight[bucket] * value, minlength=b.n)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(work, docs.select("*", F.lit(0.0).cast("double").alias(name)).schema)
+    return docs.transform(common.batches, work, docs.select("*", F.lit(0.0).cast("double").alias(name)).schema)
 
 
 def keep_good(docs: DataFrame, least: float = KEEP) -> DataFrame:

@@ -395,7 +395,7 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
 
     rows = common.renamed(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    return rows.transform(common.batches, work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
 
 
 def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:

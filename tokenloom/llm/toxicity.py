@@ -140,7 +140,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label_col: str, train_row
 
     rows = common.renamed(docs, doc_id="doc_id", text="text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(work, f"doc_id {kind}, label int, terms binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("terms").alias("terms"))
+    found = rows.transform(common.batches, work, f"doc_id {kind}, label int, terms binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("terms").alias("terms"))
     got = found.toArrow().sort_by("doc_id")
     return [np.frombuffer(t, dtype="<i4") for t in got["terms"].to_pylist()], np.array(got["label"].to_pylist(), dtype=np.int64)
 
@@ -156,7 +156,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": pa.array(sigmoid(z))})
 
     rows = common.renamed(docs, doc_id="doc_id", text="text")
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.transform(common.batches, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def held_out(modulus: int, remainder: int):

@@ -100,7 +100,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             done.append((path, size, n))
         yield pa.RecordBatch.from_pydict({"path": pa.array([f"{folder}/{d[0]}" for d in done], pa.string()), "bytes": pa.array([d[1] for d in done], pa.int64()), "records": pa.array([d[2] for d in done], pa.int64())})
 
-    return common.cut(records.mapInArrow(work, "path string, bytes bigint, records bigint"))
+    return common.cut(records.transform(common.batches, work, "path string, bytes bigint, records bigint"))
 
 
 def _inflate(file, at: int, size: int, most: int | None = None) -> tuple[bytes, int] | None:
@@ -190,7 +190,7 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
                     yield pa.RecordBatch.from_pylist(rows, _READ)
 
     spread = ranges.repartition(max(8, archives.sparkSession.sparkContext.defaultParallelism))
-    return spread.mapInArrow(work, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
+    return spread.transform(common.batches, work, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
