@@ -193,4 +193,18 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "\\### Assistant: </turn> ok"
     rows = common.renamed(common.table(spark, sf_dir, "conversations"), conv_id="conv_id", turn="turn", role="role", text="text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
-    return read_back(format_conversations(rows.unionByName(more), default_model("byte_bpe_50k.json")))
+    done = read_back(format_conversations(rows.unionByName(more), default_model("byte_bpe_50k.json")))
+    return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+#: The marks of a turn have 23 characters; each backslash and each "<|" of a role or text adds one.
+ORACLE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(k))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(23 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

@@ -322,3 +322,27 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.renamed(common.table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     found = search_documents(docs, common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", *(F.col(f"leak.{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256")), (F.col("leak.n_hit") > 0).alias("contaminated"))
+
+
+ORACLE_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM items WHERE len(w) > 0)),
+hits AS MATERIALIZED (
+  SELECT r, i, d.n, item_id
+  FROM (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS s
+        FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)) d
+  JOIN windows v ON v.n = d.n AND v.s = d.s),
+hit_words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + n - 1)) AS k FROM hits) GROUP BY r),
+hit_items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
