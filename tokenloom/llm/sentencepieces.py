@@ -88,6 +88,7 @@ class PieceTable:
         for i in normal:
             texts[i] = pieces[i].replace(_SPACE, " ").encode()
         texts = [b" \xe2\x81\x87 " if sp.is_unknown(i) else t for i, t in enumerate(texts)]
+        self.plain = np.array([i not in special and i not in byte_ids for i in range(n)])
         self.piece_len = np.array([len(t) for t in texts], dtype=np.int64)
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)[:-1]])
         self.piece_bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -330,9 +331,14 @@ class PieceTable:
         ends = np.cumsum(size)
         flat = self.piece_bytes[common.ragged(size, self.piece_at[ids])]
         offsets = np.concatenate([[0], np.append(0, ends)[np.cumsum(per_doc)]])
-        begins = offsets[:-1][np.diff(offsets) > 0]
-        # the dummy prefix: only a space that opens the first piece with any text
-        lead = begins[flat[begins] == 0x20]
+        # the dummy prefix: a space that opens the first piece with any text, unless that is a mark or a byte
+        spoken = np.flatnonzero(size > 0)
+        doc_ends = np.cumsum(per_doc)
+        first = np.searchsorted(spoken, doc_ends - per_doc)
+        has = np.flatnonzero((first < np.searchsorted(spoken, doc_ends)))
+        opening = spoken[first[has]]
+        lead = offsets[:-1][has]
+        lead = lead[(flat[lead] == 0x20) & self.plain[ids[opening]]]
         if len(lead):
             keep = np.ones(len(flat), dtype=bool)
             keep[lead] = False
