@@ -6,8 +6,8 @@ and in at most as many blocks, as the sets differ in elements. B exceeds the
 largest difference that a link allows among documents of a size band by some
 spare blocks; linked documents therefore agree in more blocks than are spare,
 and blocks (band, number, parity and XOR of the elements' hashes) are joined.
-Blocks that many documents have may be left out where a document has no more
-of them than are spare, which loses no link. Documents that share
+Each document leaves out as many of its commonest blocks as are spare, which
+loses no link, as it then still shares a rarer one. Documents that share
 blocks with the same hub form a group, in which sizes and the bit distance of
 their sketches rule out almost every pair; each set then goes once to the group
 of all documents that the remaining pairs lead to, where links are verified.
@@ -35,11 +35,9 @@ from tokenloom.llm import common, words
 
 SHINGLE = 5
 PERCENT = 80
-GROUP = 1024
+GROUP = 512
 #: Bits of the smallest sketches that candidates are compared by; larger sets have as many bits as members, to a power of two.
 SKETCH_BITS = 256
-#: Classes in a block from which it is common.
-COMMON = 4
 #: Sizes of a band reach from one bound to this multiple of it.
 BAND = 1.5
 #: Rows up to which class ids are broadcast (16 bytes each).
@@ -78,7 +76,7 @@ class Rule:
         near = (size > 0) & (100 * size >= self.percent * self.bounds[own + 1])
         row, band = np.concatenate([row[size > 0], row[near]]), np.concatenate([own[size > 0], own[near] + 1])
         apart = self.most_apart(2 * (self.bounds[band + 1] - 1))
-        spare = 2 + apart // 12
+        spare = 2 + apart // 4
         use = apart > 0  # otherwise only equal sets are linked
         return row[use], band[use], (apart + 1 + spare)[use], spare[use]
 
@@ -356,13 +354,13 @@ def verified_links(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percen
     """
     by_key = Window.partitionBy("key")
     blocks = _block_rows(docs, k, percent)
-    shared = blocks.select("cls", "place", F.min("cls").over(by_key).alias("hub"), F.max("cls").over(by_key).alias("top"), F.count("*").over(by_key).alias("n"))
-    shared = common.cut(shared.where("hub < top").select("cls", "place", "hub", (F.col("n") > COMMON).alias("common")))
-    # linked classes agree in more blocks than are spare. One with no more common blocks than that
-    # agrees in a rare one, so its common ones (passages that many texts hold, empty blocks) can go.
-    # One with more, say of a large group of copies, keeps them all; so no link is lost.
-    much = shared.where("common").withColumn("times", F.count("*").over(Window.partitionBy("cls", "place"))).where(F.col("times") > F.col("place").bitwiseAND(0xFFFFFF))
-    members = common.cut(shared.where("not common").select("cls", "hub").unionByName(much.select("cls", "hub")).distinct())
+    shared = blocks.select("cls", "place", "key", F.min("cls").over(by_key).alias("hub"), F.max("cls").over(by_key).alias("top"), F.count("*").over(by_key).alias("n")).where("hub < top")
+    # Linked classes agree in more blocks than are spare, so each may leave out that many of its
+    # commonest ones (passages that many texts hold, empty blocks): a rarer one is still shared.
+    # The order of blocks is the same for all classes.
+    common_first = F.dense_rank().over(Window.partitionBy("cls", "place").orderBy(F.desc("n"), "key"))
+    rare = shared.withColumn("place_in", common_first).where(F.col("place_in") > F.col("place").bitwiseAND(0xFFFFFF))
+    members = common.cut(rare.select("cls", "hub").distinct())
     # classes of one hub share blocks; sizes and sketches leave the pairs that may be linked
     tasks = _placed(members, group).join(classes, "cls").select("hub", "i", "j", "side", "cls", "n_shingles", "sketch")
     possible = components(_links(tasks, percent, _by_sketch))
@@ -444,22 +442,3 @@ reach(a, b) AS (SELECT r, r FROM split UNION SELECT reach.a, links.b FROM reach
 SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(e.doc_id) AS component_id
 FROM split d JOIN reach ON reach.a = d.r JOIN split e ON e.r = reach.b LEFT JOIN sizes z ON z.r = d.r GROUP BY d.r, d.doc_id
 """
-
-
-#: All pairs that share a shingle are counted, links followed to their ends.
-ORACLE_SQL = r"""
-WITH RECURSIVE split AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, doc_id,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-  FROM documents),
-sets AS MATERIALIZED (
-  SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS s
-  FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS i FROM split WHERE len(w) > 0)),
-sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM sets GROUP BY r),
-links AS MATERIALIZED (
-  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS k FROM sets x JOIN sets y ON x.s = y.s AND x.r <> y.r GROUP BY 1, 2) p
-  JOIN sizes m ON m.r = a JOIN sizes n ON n.r = b WHERE 100 * k >= 85 * (m.n + n.n - k)),
-reach(a, b) AS (SELECT r, r FROM split UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
-SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(e.doc_id) AS component_id
-FROM split d JOIN reach ON reach.a = d.r JOIN split e ON e.r = reach.b LEFT JOIN sizes z ON z.r = d.r GROUP BY d.r, d.doc_id
-"""
