@@ -215,9 +215,17 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The head of a count table."""
+    """The commonest tokens of a count table, at most `head`."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()
+    # a histogram of counts on a log scale tells from which count on words are no more than head
+    step = F.floor(F.log2("c") * 64).cast("int")
+    size, least = 0, 1 << 30
+    for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():
+        size += r.n
+        if size > head:
+            break
+        least = r.s
+    top = counts.where(step >= least).orderBy(F.desc("c"), "h").toArrow()
     h = np.asarray(top["h"].combine_chunks() if top.num_rows else [], dtype=np.int64).view(np.uint64)
     c = np.asarray(top["c"].combine_chunks() if top.num_rows else [], dtype=np.int64)
     known = np.flatnonzero(h != _END)[: CLASSES - 2]
@@ -247,8 +255,9 @@ def fit(docs: DataFrame, vocab: Vocabulary, warm_docs: int = WARM_DOCS) -> Model
             raw = cls.tobytes()
             yield pa.RecordBatch.from_pydict({"cls": pa.array([raw[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())})
 
-    first = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(warm_docs).transform(common.batches, listed, "cls binary").collect()
-    lists = [np.frombuffer(r.cls, dtype=np.uint8) for r in first]
+    n_docs = int(counts[END])
+    first = common.lowest_hashes(docs.select("text"), n_docs, warm_docs, "text").transform(common.batches, listed, "cls binary").collect()
+    lists = [np.frombuffer(r, dtype=np.uint8) for r in sorted(bytes(r.cls) for r in first)]
     target = np.concatenate(lists)
     context = contexts(target, np.concatenate([[0], np.cumsum([len(x) for x in lists])]))
     warm = Trainer(model, counts, rate=0.15, batch=1024)
@@ -272,6 +281,10 @@ def fit(docs: DataFrame, vocab: Vocabulary, warm_docs: int = WARM_DOCS) -> Model
 
 def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; docs has doc_id, text, held_out."""
+    # logs of the shares' denominators, over all words and over those of the last class
+    whole = float(np.log10(vocab.total + 0.1 * (vocab.distinct + 1)))
+    others = vocab.distinct - int((vocab.classes != OTHER).sum())
+    part = float(np.log10(vocab.class_counts()[OTHER] + 0.1 * (others + 1)))
     shared = docs.sparkSession.sparkContext.broadcast((vocab, model))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -281,9 +294,10 @@ def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -
         vocab, model = shared.value
         row = TaskContext.get().partitionId() << 40
         logs = np.log10(vocab.counts + 0.1)
-        for part in common.text_slices(batches, "text"):
-            h, offsets = tokens(part.column("text"))
-            doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+        for rows in common.text_slices(batches, "text"):
+            h, offsets = tokens(rows.column("text"))
+            n = rows.num_rows
+            doc = np.repeat(np.arange(n), np.diff(offsets))
             at, there = vocab.places(h)
             cls = np.where(h == _END, END, OTHER)
             cls[there] = vocab.classes[at[there]]
@@ -294,7 +308,7 @@ def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -
             other = (cls == OTHER) & there
 
             def by_doc(x):
-                return np.bincount(doc, weights=x, minlength=part.num_rows)
+                return np.bincount(doc, weights=x, minlength=n)
 
             # tokens beyond the head, each distinct one of a document once with its number
             far = np.flatnonzero(~there)
@@ -303,40 +317,44 @@ def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -
             new[1:] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1])
             first = np.flatnonzero(new)
             times = np.diff(np.append(first, len(order)))
-            cuts = pa.array(np.searchsorted(doc[order[first]], np.arange(part.num_rows + 1)), pa.int32())
+            cuts = pa.array(np.searchsorted(doc[order[first]], np.arange(n + 1)), pa.int32())
             yield pa.RecordBatch.from_pydict(
                 {
-                    "row": pa.array(row + np.arange(part.num_rows)),
-                    "doc_id": part.column("doc_id"),
-                    "held_out": part.column("held_out"),
+                    "row": pa.array(row + np.arange(n)),
+                    "doc_id": rows.column("doc_id"),
+                    "held_out": rows.column("held_out"),
                     "n_tokens": pa.array(np.diff(offsets)),
                     "near": pa.array(by_doc(there).astype(np.int64)),
-                    "base": pa.array(by_doc(log)),
-                    "model": pa.array(by_doc(lp)),
-                    "others": pa.array(by_doc(cls == OTHER).astype(np.int64)),
-                    "other": pa.array(by_doc(log * other)),
+                    "base": pa.array(by_doc(np.where(there, log - whole, 0))),
+                    "model": pa.array(by_doc(lp + np.where(other, log - part, 0))),
                     "h": pa.ListArray.from_arrays(cuts, pa.array(h[order[first]].view(np.int64))),
                     "times": pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))),
                 }
             )
-            row += part.num_rows
+            row += n
 
-    rows = common.cut(docs.select("doc_id", "text", "held_out").transform(common.batches, work, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, near bigint, base double, model double, others bigint, other double, h array<bigint>, times array<bigint>"))
+    rows = common.cut(docs.select("doc_id", "text", "held_out").transform(common.batches, work, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, near bigint, base double, model double, h array<bigint>, times array<bigint>"))
     far = rows.select("row", F.explode(F.arrays_zip("h", "times")).alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.times").alias("times"))
-    far = far.join(counts, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("far"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("far_base"))
-    done = rows.drop("h", "times").join(far, "row", "left").na.fill(0, ["far", "far_base"])
-    seen = vocab.class_counts()
-    n_other = seen[OTHER]
-    v_other = vocab.distinct - int((vocab.classes != OTHER).sum())
-    whole, part = float(np.log10(vocab.total + 0.1 * (vocab.distinct + 1))), float(np.log10(n_other + 0.1 * (v_other + 1)))
+    # every one of them but an end is of the last class; ends are beyond the head only if nothing was learnt
+    log, end = F.log10(F.coalesce("c", F.lit(0)) + 0.1), int(_END.view(np.int64))
+    far = (
+        far.join(counts, "h", "left")
+        .groupBy("row")
+        .agg(
+            F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("far"),
+            F.sum(F.col("times") * (log - whole)).alias("far_base"),
+            F.sum(F.when(F.col("h") != end, F.col("times") * (log - part)).otherwise(0.0)).alias("far_model"),
+        )
+    )
+    done = rows.drop("h", "times").join(far, "row", "left").na.fill(0, ["far", "far_base", "far_model"])
     return done.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("near") + F.col("far")).alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("far_base") - F.col("n_tokens") * whole).alias("base_score"),
-        (F.col("model") + F.col("other") + F.col("far_base") - F.col("others") * part).alias("score"),
+        (F.col("base") + F.col("far_base")).alias("base_score"),
+        (F.col("model") + F.col("far_model")).alias("score"),
     )
 
 

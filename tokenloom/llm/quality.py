@@ -215,9 +215,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[float, np.ndarra
     post, _, _ = fit_labellers(pattern, count)
     posterior = dict(zip(_codes(pattern).tolist(), post.tolist()))
     # equal contents count once, so that no copied row can fill the sample
-    total = int(count.sum())
-    line = -(1 << 63) + int((1 << 64) * min(1.0, 2.0 * train_rows / max(total, 1))) - 1
-    sample = docs.select(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("h") <= min(line, (1 << 63) - 1))
+    sample = common.lowest_hashes(docs.select(F.coalesce("text", F.lit("")).alias("text")), int(count.sum()), train_rows, "text")
 
     def work(batches):
         for part in common.text_slices(batches, "text"):
@@ -227,15 +225,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[float, np.ndarra
             raw_b, raw_v = bucket.astype("<i4").tobytes(), value.astype("<f4").tobytes()
             yield pa.RecordBatch.from_pydict(
                 {
-                    "h": part.column("h"),
                     "code": pa.array(_codes(votes(b)).astype(np.int32)),
                     "bucket": pa.array([raw_b[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])], pa.binary()),
                     "value": pa.array([raw_v[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])], pa.binary()),
                 }
             )
 
-    rows = sample.transform(common.batches, work, "h bigint, code int, bucket binary, value binary")
-    got = rows.groupBy("h").agg(F.min(F.struct("code", "bucket", "value")).alias("r")).orderBy("h").limit(train_rows).select("r.*").toArrow()
+    rows = sample.transform(common.batches, work, "code int, bucket binary, value binary")
+    got = rows.orderBy("bucket", "value").toArrow()
     bucket = [np.frombuffer(x, "<i4") for x in got["bucket"].to_pylist()]
     value = [np.frombuffer(x, "<f4") for x in got["value"].to_pylist()]
     target = np.array([posterior[c] for c in got["code"].to_pylist()])

@@ -129,7 +129,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label_col: str, train_row
     if keep is not None:
         known = known.where(keep)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    sample = common.lowest_hashes(known, known.count(), train_rows, "doc_id")
 
     def work(batches):
         for part in common.text_slices(batches, "text"):
