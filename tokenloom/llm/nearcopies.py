@@ -295,7 +295,7 @@ def _placed(members: DataFrame, group: int) -> DataFrame:
     A group of up to `group` members is one task; a larger one is dealt into parts, each of which
     meets itself and every other part once.
     """
-    large = common.cut(members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > group).select("hub", F.ceil(F.col("n") / group).cast("int").alias("parts")))
+    large = common.cut_light(members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > group).select("hub", F.ceil(F.col("n") / group).cast("int").alias("parts")))
     placed = common.join_checked(members, large, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -360,12 +360,12 @@ def verified_links(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percen
     # The order of blocks is the same for all classes.
     common_first = F.dense_rank().over(Window.partitionBy("cls", "place").orderBy(F.desc("n"), "key"))
     rare = shared.withColumn("place_in", common_first).where(F.col("place_in") > F.col("place").bitwiseAND(0xFFFFFF))
-    members = common.cut(rare.select("cls", "hub").distinct())
+    members = common.cut_light(rare.select("cls", "hub").distinct())
     # classes of one hub share blocks; sizes and sketches leave the pairs that may be linked
     tasks = _placed(members, group).join(classes, "cls").select("hub", "i", "j", "side", "cls", "n_shingles", "sketch")
     possible = components(_links(tasks, percent, _by_sketch))
     # each set goes once to the group of all that possible links lead to
-    placed = common.cut(_placed(possible.select(F.col("node").alias("cls"), F.col("root").alias("hub")), group))
+    placed = common.cut_light(_placed(possible.select(F.col("node").alias("cls"), F.col("root").alias("hub")), group))
     tasks = common.join_checked(_sets(docs, k), placed, "cls", "inner", CLASS_ROWS).select("hub", "i", "j", "side", "cls", "members")
     return _links(tasks, percent, _by_set)
 
@@ -376,7 +376,7 @@ def components(links: DataFrame) -> DataFrame:
     Large and small stars in turn until nothing changes; each round is written
     to the shared folder.
     """
-    edges = common.cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = common.cut_light(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -389,7 +389,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = common.cut(small.where("u <> v").distinct())
+        edges = common.cut_light(small.where("u <> v").distinct())
         before, now = now, mark(edges)
         if before == now:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -413,8 +413,8 @@ def group_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that are linked to one of a smaller id; of rows with one id one stays."""
     found = common.cut(group_documents(docs, k, percent))
-    gone = common.cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    twice = common.cut(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    gone = common.cut_light(found.where("doc_id <> component_id").select("doc_id").distinct())
+    twice = common.cut_light(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     left = common.join_checked(docs, gone, "doc_id", "left_anti", CLASS_ROWS)
     single = common.join_checked(left, twice, "doc_id", "left_anti", CLASS_ROWS)
     return single.unionByName(common.join_checked(left, twice, "doc_id", "left_semi", CLASS_ROWS).dropDuplicates(["doc_id"]))
