@@ -73,3 +73,13 @@ def test_recall_on_the_table(spark):
         assert [f[0] for f in ordered] == list(range(1, 21))
         assert all(a[2] > b[2] or (a[2] == b[2] and a[1] < b[1]) for a, b in zip(ordered, ordered[1:]))
     assert len(got) == (ids % 20 == 0).sum() and hits >= 0.93 * 20 * len(got)
+
+
+def test_repeated_rows_hide_no_ids(spark):
+    """A vector with 30 ids of 30 rows each, and one row more often than there are places."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(30) for _ in range(30)] + [(100, [3.0, 1.0, 1.0])] * 50 + [(i, [3.0, 1.0, 1.0]) for i in range(101, 130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, df.where("vec_id in (0, 29, 100)"), k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: list(range(1, 21)), 29: list(range(20)), 100: list(range(101, 121))}

@@ -128,8 +128,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     length = lengths.length
     rows, asked = rows.where(F.size("vec") == length), asked.where(F.size("vec") == length)
-    # of equal vectors the smallest ids only; Spark limits each group before it is shuffled
-    first = rows.select("vec", "id", F.row_number().over(Window.partitionBy("vec").orderBy("id")).alias("place")).where(F.col("place") <= k + 1)
+    # of equal vectors the smallest ids only, repeated rows once; Spark limits each group before it is shuffled
+    first = rows.distinct().select("vec", "id", F.row_number().over(Window.partitionBy("vec").orderBy("id")).alias("place")).where(F.col("place") <= k + 1)
     distinct = common.cut(first.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids")))
     total = distinct.count()
     curves = Curves(length, float(np.sqrt(lengths.square)), orders)
