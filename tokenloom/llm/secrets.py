@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import common
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 MASK = "[SECRET]"
 SECRET = 0.5
 #: Rows of the default labelled findings, a documented bound.
