@@ -48,16 +48,32 @@ def test_flat_text_of_slices():
 
 def test_word_hashes_depend_on_the_word_alone(monkeypatch):
     text = ("Über a bc  a bc\tdef " * 30 + "q" * 300 + " a").encode()
-    flat = np.frombuffer(text, dtype=np.uint8)
-    for block in ((1 << 20) - 1, 64):
-        monkeypatch.setattr(words, "_BLOCK", block)
-        a, b, by = words.spans(flat, np.array([0, 7, len(flat)]))
-        hashes = words.span_hashes(flat, a, b)
-        found = {}
-        for x, y, h in zip(a, b, hashes.tolist()):
-            assert found.setdefault(text[x:y], h) == h
-        assert len(set(found.values())) == len(found) and all(words.one_hash(w) == h for w, h in found.items())
-        assert by[0] == 0 and by[-1] == len(a)
+    flat = np.frombuffer(text, np.uint8)
+    starts, ends, _ = words.spans(flat, np.array([0, len(flat)]))
+    found = words.span_hashes(flat, starts, ends)
+    by_word = {}
+    for a, b, h in zip(starts.tolist(), ends.tolist(), found.tolist()):
+        assert by_word.setdefault(text[a:b], h) == h == words.one_hash(text[a:b])
+    assert len(set(by_word.values())) == len(by_word)
+    monkeypatch.setattr(words, "_BLOCK", 4)
+    assert (words.span_hashes(flat, starts, ends) == found).all()
+    assert words.equal_spans(flat, starts, ends, flat, starts, ends).all()
+    same = words.equal_spans(flat, starts[:-1], ends[:-1], flat, starts[1:], ends[1:])
+    assert same.tolist() == [text[a:b] == text[c:d] for a, b, c, d in zip(starts[:-1], ends[:-1], starts[1:], ends[1:])]
+
+
+def test_patterned_words_have_hashes_of_their_own():
+    """Words that sums of powers modulo 2**64 take for equal, and words that differ in one byte, in length or in order."""
+    found = []
+    for n in (512, 1024, 2048, 4096):
+        one = b"a"
+        while len(one) < n:
+            one += one.translate(bytes.maketrans(b"ab", b"ba"))
+        found += [one[:n], one[:n].translate(bytes.maketrans(b"ab", b"ba"))]
+    found += [b"x" * k for k in range(1, 70)] + [b"\0" * k for k in range(1, 70)]
+    found += [b"12345678" * 2, b"12345678" + b"87654321", b"87654321" + b"12345678"]
+    found += [b"p" * k + b"q" + b"p" * (40 - k) for k in range(41)]
+    assert len({words.one_hash(w) for w in found}) == len(set(found))
 
 
 def test_documents_are_word_borders():

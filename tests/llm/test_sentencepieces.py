@@ -46,13 +46,51 @@ def test_any_text(library, texts):
     agree(library, texts)
 
 
+def queue(table, sym):
+    """The merges of one word in the order of a priority queue, best rank and then leftmost first."""
+    sym = sym.tolist()
+    while len(sym) > 1:
+        rank, made = table.pairs(np.array(sym[:-1]), np.array(sym[1:]))
+        at = int(rank.argmin())
+        if rank[at] == sentencepieces._NONE:
+            break
+        sym[at : at + 2] = [int(made[at])]
+    return sym
+
+
 def test_rounds_equal_the_queue():
     table = sentencepieces.PieceTable(MODEL)
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        word = "".join(rng.choice(list("aeithnso▁ .")) for _ in range(rng.integers(1, 40)))
+    for n in [*range(1, 40)] * 4 + [300] * 6:
+        word = "".join(rng.choice(list("aeithnso▁ ."), n))
         sym = table.char_symbol[np.array([ord(c) for c in word.replace(" ", "▁")])]
-        assert table.merge(sym, np.array([len(sym)]))[0].tolist() == table.merge_long(sym).tolist()
+        assert table.merge(sym, np.array([len(sym)]))[0].tolist() == queue(table, sym)
+
+
+def test_long_words_are_cut_where_nothing_merges(library):
+    rng = np.random.default_rng(3)
+    letters = {"low": "abcdefghijklmnopqrstuvwxyz", "keys": "ABCDabcdxyz0189+/=", "few": "etaoin", "mixed": "aé日ሴb"}
+    agree(library, ["".join(rng.choice(list(x), n)) for x in letters.values() for n in (50, 700, 20_000)] + ["the" * 4000 + " " + "a" * 4097 + "b"])
+
+
+def twins(n):
+    """Two words of n letters that sums of powers modulo 2**64 can't tell apart from 1,024 on."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one[:n], one[:n].translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_look_alike_to_sums(library):
+    agree(library, [w for n in (512, 1024, 2048, 4096) for w in twins(n)])
+
+
+def test_equal_hashes_of_other_words(library, monkeypatch):
+    plain = sentencepieces.words.span_hashes
+    monkeypatch.setattr(sentencepieces.words, "span_hashes", lambda flat, starts, ends: plain(flat, starts, ends) % np.uint64(7))
+    monkeypatch.setitem(sentencepieces._TABLES, sentencepieces.hashlib.sha256(MODEL).hexdigest(), sentencepieces.PieceTable(MODEL))
+    for _ in range(2):
+        agree(library, ["some words that are many more than seven and some again", "other words", "many more words"])
 
 
 def test_foreign_ids_decode(library):

@@ -7,18 +7,20 @@ best-ranked pair of every word with one segmented minimum, merges its leftmost
 occurrences in all words at once, compacts the arrays and ranks only the pairs
 that changed, until no word has a pair left. A word whose merges would create
 a pair of the same or a better rank merges only its leftmost occurrence in that
-round, so the order is exactly that of a priority queue.
+round, so the order is exactly that of a priority queue. In words that are
+still not done after SETTLED rounds, places that no piece can ever reach across
+become ends of words of their own, so long words need few rounds too. Words are
+found by hash and compared byte by byte.
 
 Nulls and empty texts encode to the begin and end ids alone and decode to "".
 Rows are independent: repeated rows give repeated results, an empty table an
 empty result, other columns are ignored. Texts of any length are encoded
-whole; a single word of over LONG_WORD symbols goes through a queue of its own.
+whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm import common, words
 
-#: Symbols from which a word is merged by itself (linearithmic) and not in the rounds.
-LONG_WORD = 2048
-#: Ids that one worker keeps for words it has met.
-CACHE_IDS = 3_000_000
+#: Rounds after which words are cut where nothing can merge any more.
+SETTLED = 12
+#: Ids and bytes that one worker keeps for words it has met.
+CACHE_IDS, CACHE_BYTES = 3_000_000, 32 << 20
 _NONE = np.int32(2**31 - 1)
 _SPACE = "▁"
 
@@ -79,6 +81,7 @@ class PieceTable:
         self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.int64(2**62))
         self.ranks = np.append(np.array(ranks, dtype=np.int32)[order], _NONE)
         self.outs = np.append(np.array(outs, dtype=np.int32)[order], np.int32(-1))
+        self._symbol, self._joints = symbol, None
         self.byte_id = np.zeros(256, dtype=np.int32)
         texts: list[bytes] = [b""] * n
         for i in byte_ids:
@@ -101,28 +104,51 @@ class PieceTable:
         hit = self.keys[at] == key
         return np.where(hit, self.ranks[at], _NONE), self.outs[at]
 
+    def joints(self) -> np.ndarray:
+        """Pairs of symbols, ascending, that symbols which end and begin so can ever merge across."""
+        if self._joints is None:
+            tails, heads = [[] for _ in range(self.width)], [[] for _ in range(self.width)]
+            for s, i in self._symbol.items():
+                tails[i] = [j for cut in range(len(s)) if (j := self._symbol.get(s[cut:])) is not None]
+                heads[i] = [j for cut in range(len(s)) if (j := self._symbol.get(s[: cut + 1])) is not None]
+            keys = self.keys[:-1]
+            for ends, place in ((tails, self.width), (heads, 1)):
+                # every symbol on this side by each of its ends
+                count = np.array([len(x) for x in ends], dtype=np.int64)
+                listed = np.array([j for x in ends for j in x], dtype=np.int64)
+                own = keys // place % self.width
+                keys = np.repeat(keys - own * place, count[own]) + listed[common.ragged(count[own], (np.cumsum(count) - count)[own])] * place
+                keys = np.unique(keys)
+            self._joints = np.append(keys, np.int64(2**62))
+        return self._joints
+
     # -- words ------------------------------------------------------------
     def merge(self, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of words after all merges, and how many each word has left; no word may be empty."""
-        out_sym, out_word, out_len = [], [], []
-        word_ids = np.arange(len(lens))
+        out_sym, out_place, out_len = [], [], []
+        begins = np.cumsum(lens) - lens
+        place = begins  # where in the text each word, or what was cut off one, begins
         last = np.zeros(len(sym), dtype=bool)
         last[np.cumsum(lens) - 1] = True
         rank = np.full(len(sym), _NONE, dtype=np.int32)
         made = np.full(len(sym), -1, dtype=np.int32)
         inner = np.flatnonzero(~last)
         rank[inner], made[inner] = self.pairs(sym[inner], sym[inner + 1])
+        rounds = 0
         while len(lens):
+            rounds += 1
+            if rounds > SETTLED:
+                place, lens = self._cut(sym, last, place, lens)
             starts = np.cumsum(lens) - lens
             best = np.minimum.reduceat(rank, starts)
             live = best != _NONE
             if not live.all():
                 keep = np.repeat(live, lens)
                 out_sym.append(sym[~keep])
-                out_word.append(word_ids[~live])
+                out_place.append(place[~live])
                 out_len.append(lens[~live])
                 sym, rank, made, last = sym[keep], rank[keep], made[keep], last[keep]
-                word_ids, lens, best = word_ids[live], lens[live], best[live]
+                place, lens, best = place[live], lens[live], best[live]
                 if not len(lens):
                     break
             of = np.repeat(np.arange(len(lens)), lens)
@@ -147,10 +173,28 @@ class PieceTable:
             lens = lens - np.bincount(of[at], minlength=len(lens))
         if not out_sym:
             return sym, lens
-        sym, word, length = np.concatenate(out_sym), np.concatenate(out_word), np.concatenate(out_len)
+        sym, place, length = np.concatenate(out_sym), np.concatenate(out_place), np.concatenate(out_len)
         start = np.cumsum(length) - length
-        order = np.argsort(word)
-        return sym[common.ragged(length[order], start[order])], length[order]
+        order = np.argsort(place)
+        total = np.concatenate([[0], np.cumsum(length[order])])
+        by_word = np.append(np.searchsorted(place[order], begins), len(place))
+        return sym[common.ragged(length[order], start[order])], np.diff(total[by_word])
+
+    def _cut(self, sym, last, place, lens):
+        """Mark ends in `last` where nothing can merge across any more; the places and lengths of what is between them."""
+        inner = np.flatnonzero(~last)
+        key = sym[inner].astype(np.int64) * self.width + sym[inner + 1]
+        joints = self.joints()
+        last[inner[joints[np.searchsorted(joints, key)] != key]] = True
+        ends = np.flatnonzero(last) + 1
+        cut = np.diff(ends, prepend=0)
+        if len(cut) == len(lens):
+            return place, lens
+        # characters, not symbols, tell where in the text a part begins
+        wide = np.concatenate([[0], np.cumsum(self._widths(sym))])
+        word = np.searchsorted(np.cumsum(lens), ends - cut, side="right")
+        first = np.cumsum(lens) - lens
+        return place[word] + wide[ends - cut] - wide[first[word]], cut
 
     def _apply(self, sym, rank, made, last, at):
         """Merge the pairs at `at`; also the positions whose pair changed, and the old positions that stay."""
@@ -170,42 +214,6 @@ class PieceTable:
         rank[open_], made[open_] = self.pairs(sym[open_], sym[open_ + 1])
         return sym, rank, made, last, changed, kept
 
-    def merge_long(self, sym: np.ndarray) -> np.ndarray:
-        """The same merges for one word with a priority queue."""
-        sym = sym.tolist()
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        ranks, outs = self.pairs(np.array(sym[:-1]), np.array(sym[1:]))
-        heap = [(r, i, sym[i], sym[i + 1], o) for i, (r, o) in enumerate(zip(ranks.tolist(), outs.tolist())) if r != _NONE]
-        heapq.heapify(heap)
-        known: dict[tuple[int, int], tuple[int, int]] = {}
-
-        def push(i: int) -> None:
-            j = nxt[i]
-            if j >= n:
-                return
-            pair = (sym[i], sym[j])
-            if pair not in known:
-                r, o = self.pairs(np.array([pair[0]]), np.array([pair[1]]))
-                known[pair] = (int(r[0]), int(o[0]))
-            r, o = known[pair]
-            if r != _NONE:
-                heapq.heappush(heap, (r, i, *pair, o))
-
-        while heap:
-            _, i, left, right, out = heapq.heappop(heap)
-            if not alive[i] or sym[i] != left or nxt[i] >= n or sym[nxt[i]] != right:
-                continue
-            j = nxt[i]
-            sym[i], alive[j], nxt[i] = out, False, nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            push(i)
-            if prv[i] >= 0:
-                push(prv[i])
-        return np.array([s for s, a in zip(sym, alive) if a], dtype=np.int32)
-
     def encode_words(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words given as byte spans of flat (spaces stand for the space mark): ids, ids per word."""
         if not len(starts):
@@ -217,43 +225,15 @@ class PieceTable:
         heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         bounds = heads[np.concatenate([[0], np.cumsum(size)])]
         lens = np.diff(bounds)
-        # symbols that are no pieces stay apart as the point they stand for, below zero
         sym = self.char_symbol[points]
-        foreign = np.where(sym >= self.n, -1 - points.astype(np.int64), 0)
-        long = lens > LONG_WORD
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        short = np.flatnonzero(~long)
-        if len(short):
-            pick = common.ragged(lens[short], bounds[:-1][short])
-            tagged, left = self._merge_tagged(sym[pick], foreign[pick], lens[short])
-            parts.append((short, left, tagged))
-        for w in np.flatnonzero(long):
-            pick = slice(bounds[w], bounds[w + 1])
-            tagged, left = self._merge_tagged(sym[pick], foreign[pick], lens[w : w + 1], queue=True)
-            parts.append((np.array([w]), left, tagged))
-        word = np.concatenate([p[0] for p in parts])
-        length = np.concatenate([p[1] for p in parts])
-        ids = np.concatenate([p[2] for p in parts])
-        start = np.cumsum(length) - length
-        order = np.argsort(word)
-        return ids[common.ragged(length[order], start[order])], length[order]
-
-    def _merge_tagged(self, sym, foreign, lens, queue=False):
-        """Merge, then write characters that are no pieces as their bytes."""
-        if queue:
-            done = self.merge_long(sym)
-            left = np.array([len(done)])
-        else:
-            done, left = self.merge(sym, lens)
+        done, left = self.merge(sym, lens)
         odd = np.flatnonzero(done >= self.n)
         if not len(odd):
             return done, left
-        # A character that is no piece and was never merged keeps its order among its like.
-        # Those that merged into pieces are gone, so the survivors are found by their position.
+        # a character that is no piece is written as its bytes; it is found by its place in the text
         spans = self._widths(done)
         at = np.cumsum(spans) - spans
-        points = (-1 - foreign[at[odd]]).astype(np.uint32)
-        encoded = [chr(p).encode("utf-8", "surrogatepass") for p in points.tolist()]
+        encoded = [chr(p).encode("utf-8", "surrogatepass") for p in points[at[odd]].tolist()]
         count = np.ones(len(done), dtype=np.int64)
         count[odd] = [len(b) for b in encoded]
         out = np.repeat(done, count)
@@ -287,7 +267,13 @@ class PieceTable:
         ends = np.append(starts[1:], len(flat))[: len(starts)]
         by_doc = np.searchsorted(starts, offsets)
         hashes = words.span_hashes(flat, starts, ends)
-        uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        while True:
+            uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            same = words.equal_spans(flat, starts, ends, flat, starts[first][inverse], ends[first][inverse])
+            if same.all():
+                break
+            # other bytes under the same hash: a hash of their own
+            hashes[~same] = words.mix(hashes[~same] + np.uint64(1))
         at, length, pool = self._lookup(uniq, flat, starts[first], ends[first])
         n_word = length[inverse]
         total = np.concatenate([[0], np.cumsum(n_word)])
@@ -303,24 +289,37 @@ class PieceTable:
 
     def _lookup(self, uniq, flat, starts, ends):
         """Where each distinct word's ids are in a pool; words not met before are encoded."""
-        if self.cache is None or len(self.cache[3]) > CACHE_IDS:
-            self.cache = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        keys, at, length, pool = self.cache
+        if self.cache is None or len(self.cache[3]) > CACHE_IDS or len(self.cache[6]) > CACHE_BYTES:
+            none = np.zeros(0, np.int64)
+            self.cache = (np.zeros(0, np.uint64), none, none, np.zeros(0, np.int32), none, none, np.zeros(0, np.uint8))
+        keys, at, length, pool, text_at, text_end, text = self.cache
         spot = np.searchsorted(keys, uniq)
-        known = np.zeros(len(uniq), dtype=bool)
-        ok = spot < len(keys)
-        known[ok] = keys[spot[ok]] == uniq[ok]
-        new = np.flatnonzero(~known)
+        met = np.flatnonzero(spot < len(keys))
+        met = met[keys[spot[met]] == uniq[met]]
+        out_at, out_length = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64)
+        same = words.equal_spans(flat, starts[met], ends[met], text, text_at[spot[met]], text_end[spot[met]])
+        known = met[same]
+        out_at[known], out_length[known] = at[spot[known]], length[spot[known]]
+        missing = np.ones(len(uniq), dtype=bool)
+        missing[known] = False
+        new = np.flatnonzero(missing)
         if len(new):
             ids, n = self.encode_words(flat, starts[new], ends[new])
             new_at = len(pool) + np.cumsum(n) - n
-            where = np.searchsorted(keys, uniq[new])
-            keys = np.insert(keys, where, uniq[new])
-            at, length = np.insert(at, where, new_at), np.insert(length, where, n)
+            out_at[new], out_length[new] = new_at, n
             pool = np.concatenate([pool, ids.astype(np.int32)])
-            self.cache = (keys, at, length, pool)
-            spot = np.searchsorted(keys, uniq)
-        return at[spot], length[spot], pool
+            # a hash that stands for another word already keeps that one
+            missing[met] = False
+            keep = np.flatnonzero(missing[new])
+            fresh = new[keep]
+            size = ends[fresh] - starts[fresh]
+            fresh_at = len(text) + np.cumsum(size) - size
+            text = np.concatenate([text, flat[common.ragged(size, starts[fresh])]])
+            where = spot[fresh]
+            keys, at, length = np.insert(keys, where, uniq[fresh]), np.insert(at, where, new_at[keep]), np.insert(length, where, n[keep])
+            text_at, text_end = np.insert(text_at, where, fresh_at), np.insert(text_end, where, fresh_at + size)
+            self.cache = (keys, at, length, pool, text_at, text_end, text)
+        return out_at, out_length, pool
 
     def decode(self, ids: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all decoded texts and n + 1 offsets: control ids give nothing, the first space goes.
