@@ -1,10 +1,18 @@
 """Toxicity scores by a factorization machine over hashed terms (operator 3).
 
 Terms are the lower-cased words and their first four and six bytes, hashed to
-2**TERM_BITS buckets. The machine is fitted on at most `train_rows` labelled
-documents (a documented bound: those whose ids hash lowest), over the `terms`
-buckets that tell the classes apart best; its factors learn what two terms mean
-together. Every document is scored on its whole text.
+2**TERM_BITS buckets. The machine has a weight and factors for every bucket
+that occurs, but only evidence moves them off zero. Rounds of score tests look
+at all of them: each term against what the machine leaves unexplained, and
+pairs of terms along the leading directions of the unexplained co-occurrence,
+found by power iteration, so that a pair counts whose terms tell nothing by
+themselves. Terms that pass are fitted in minibatches with those of the rounds
+before, until a round finds no more.
+
+It is fitted on at most `train_rows` labelled documents of at most TRAIN_TERMS
+terms in all (documented bounds): those whose ids hash lowest, leaving out the
+ones that would exceed the second bound. Every document is scored on its whole
+text.
 
 Null and empty texts have no term and score as the bias says. Null labels and
 labels of unknown documents teach nothing; several labels of one id count as
@@ -25,7 +33,14 @@ from tokenloom.llm import common, words
 
 TERM_BITS = 22
 TRAIN_ROWS = 12_000
+TRAIN_TERMS = 16_000_000
 PREFIXES = (4, 6)
+#: Standard errors by which a term, or a pair of terms, must be off to be learnt.
+TERM_ERRORS, PAIR_ERRORS = 3.0, 5.0
+#: Directions looked along, and the share of the largest loading that makes a term a candidate.
+DIRECTIONS, LOADING = 4, 0.2
+#: Columns of one block of the pair test.
+BLOCK = 512
 
 
 @dataclass
@@ -74,53 +89,130 @@ def term_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pair >> TERM_BITS, pair & ((1 << TERM_BITS) - 1)
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, terms: int = 1024, factors: int = 8, epochs: int = 25, seed: int = 7, least: int = 3, rate: float = 0.02) -> Machine:
-    """Fit a machine on documents given as arrays of distinct buckets, and their 0/1 labels."""
-    n = len(rows)
-    if not n:
-        return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, factors)))
-    size = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int64)
-    y = label.astype(np.float64)
-    pos = np.bincount(flat, weights=np.repeat(y, size), minlength=1 << TERM_BITS)
-    df = np.bincount(flat, minlength=1 << TERM_BITS)
-    prior = (y.sum() + 0.5) / (n + 1)
-    # how far a term's share of positives is from chance, in standard errors
-    usable = np.flatnonzero(df >= least)
-    z = np.abs(pos[usable] - df[usable] * prior) / np.sqrt(df[usable] * prior * (1 - prior) + 0.25)
-    chosen = np.sort(usable[np.argsort(-z, kind="stable")[:terms]])
-    bias = float(np.log(prior / (1 - prior)))
-    m = len(chosen)
-    if not m:
-        return Machine(chosen, bias, np.zeros(0), np.zeros((0, factors)))
-    at = np.searchsorted(chosen, flat)
-    at[at == m] = 0
-    hit = chosen[at] == flat
-    x = np.zeros((n, m), dtype=np.uint8)
-    x[np.repeat(np.arange(n), size)[hit], at[hit]] = 1
-    rng = np.random.default_rng(seed)
-    par = [np.array([bias]), np.zeros(m), rng.normal(0, 0.02, (m, factors))]
-    decay = (0.0, 1e-4, 1e-3)
+class _Sample:
+    """Training documents as (row, column) pairs over all distinct buckets, by row and by column."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.n, self.size = len(rows), np.array([len(r) for r in rows])
+        self.terms, self.col = np.unique(np.concatenate(rows).astype(np.int64), return_inverse=True)
+        self.row = np.repeat(np.arange(self.n), self.size)
+        self.m = len(self.terms)
+        order = np.argsort(self.col, kind="stable")
+        self.row_by_col, self.col_at = self.row[order], np.searchsorted(self.col[order], np.arange(self.m))
+        self.some = np.flatnonzero(self.size)
+        self.row_at = (np.cumsum(self.size) - self.size)[self.some]
+
+    def by_term(self, value: np.ndarray) -> np.ndarray:
+        """Sums of the documents' values over the documents of each term."""
+        return np.bincount(self.col, weights=value[self.row], minlength=self.m)
+
+    def among(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place in chosen) of the pairs whose column is chosen (ascending)."""
+        at = np.searchsorted(chosen, self.col)
+        at[at == len(chosen)] = 0
+        hit = chosen[at] == self.col if len(chosen) else np.zeros(len(at), dtype=bool)
+        return self.row[hit], at[hit]
+
+    def directions(self, err: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
+        """Leading directions of sum_d err_d x_d x_d' / |d| off its diagonal, one column each."""
+        share = (err / np.maximum(self.size, 1)).astype(np.float32)
+        own = self.by_term(share).astype(np.float32)
+        v = np.linalg.qr(rng.normal(size=(self.m, k)).astype(np.float32))[0]
+        for _ in range(rounds):
+            through = np.zeros((self.n, k), dtype=np.float32)
+            through[self.some] = np.add.reduceat(v[self.col], self.row_at, axis=0)
+            through *= share[:, None]
+            v = np.linalg.qr(np.add.reduceat(through[self.row_by_col], self.col_at, axis=0) - own[:, None] * v)[0]
+        return v
+
+    def pairs(self, chosen: np.ndarray, err: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """Those of the chosen terms that some pair of them leaves unexplained by over PAIR_ERRORS."""
+        row, at = self.among(chosen)
+
+        def block(a: int) -> np.ndarray:
+            x = np.zeros((self.n, min(BLOCK, len(chosen) - a)), dtype=np.float32)
+            here = (at >= a) & (at < a + BLOCK)
+            x[row[here], at[here] - a] = 1
+            return x
+
+        found = np.zeros(len(chosen), dtype=bool)
+        for a in range(0, len(chosen), BLOCK):
+            x = block(a)
+            for b in range(a, len(chosen), BLOCK):
+                y = block(b)
+                z = np.abs((x * err[:, None]).T @ y) / np.sqrt((x * spread[:, None]).T @ y + 0.25)
+                if a == b:
+                    np.fill_diagonal(z, 0)
+                i, j = np.nonzero(z > PAIR_ERRORS)
+                found[a + i] = found[b + j] = True
+        return chosen[found]
+
+
+def _fitted(sample: _Sample, active: np.ndarray, par: list[np.ndarray], y: np.ndarray, epochs: int, rng, rate: float = 0.02) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bias, weights and factors of the active terms after some epochs of Adam, and all documents' logits."""
+    n, decay = sample.n, (0.0, 1e-3, 1e-3)
+    row, place = sample.among(active)
+    cuts = np.searchsorted(row, np.arange(n + 1))
     one, two, step = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par], 0
     batch = min(256, max(8, n // 20))
-    for _ in range(epochs if n >= 2000 else epochs * 4):
+    for _ in range(epochs):
         order = rng.permutation(n)
         for a in range(0, n, batch):
             pick = order[a : a + batch]
-            xb = x[pick].astype(np.float64)
+            size = cuts[pick + 1] - cuts[pick]
+            x = np.zeros((len(pick), len(active)), dtype=np.float32)
+            x[np.repeat(np.arange(len(pick)), size), place[common.ragged(size, cuts[pick])]] = 1
             w0, w, v = par
-            s = xb @ v
-            z = w0[0] + xb @ w + 0.5 * ((s * s).sum(1) - xb @ (v * v).sum(1))
-            err = (sigmoid(z) - y[pick]) / len(pick)
-            through = xb.T @ err
-            grads = [np.array([err.sum()]), through, xb.T @ (err[:, None] * s) - v * through[:, None]]
+            s = x @ v
+            z = w0[0] + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
+            err = ((sigmoid(z) - y[pick]) / len(pick)).astype(np.float32)
+            through = x.T @ err
+            grads = [np.array([err.sum()]), through, x.T @ (err[:, None] * s) - v * through[:, None]]
             step += 1
             for i, g in enumerate(grads):
                 g = g + decay[i] * par[i]
                 one[i] = 0.9 * one[i] + 0.1 * g
                 two[i] = 0.999 * two[i] + 0.001 * g * g
-                par[i] = par[i] - rate * (one[i] / (1 - 0.9**step)) / (np.sqrt(two[i] / (1 - 0.999**step)) + 1e-8)
-    return Machine(chosen, float(par[0][0]), par[1], par[2])
+                par[i] = (par[i] - rate * (one[i] / (1 - 0.9**step)) / (np.sqrt(two[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    w0, w, v = par
+    logit = float(w0[0]) + np.bincount(row, weights=w[place], minlength=n)
+    for f in v.T:
+        s = np.bincount(row, weights=f[place], minlength=n)
+        logit += 0.5 * (s * s - np.bincount(row, weights=(f * f)[place], minlength=n))
+    return par, logit
+
+
+def fit(rows: list[np.ndarray], label: np.ndarray, factors: int = 8, epochs: int = 12, seed: int = 7, rounds: int = 6) -> Machine:
+    """Fit a machine on documents given as arrays of distinct buckets, and their 0/1 labels."""
+    n = len(rows)
+    if not n:
+        return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, factors)))
+    y = label.astype(np.float64)
+    prior = (y.sum() + 0.5) / (n + 1)
+    bias = float(np.log(prior / (1 - prior)))
+    active = np.zeros(0, np.int64)
+    par = [np.array([bias], np.float32), np.zeros(0, np.float32), np.zeros((0, factors), np.float32)]
+    sample, logit, rng = _Sample(rows), np.full(n, bias), np.random.default_rng(seed)
+    for _ in range(rounds if sample.m else 0):
+        p = sigmoid(logit)
+        err, spread = y - p, p * (1 - p)
+        single = np.flatnonzero(np.abs(sample.by_term(err)) > TERM_ERRORS * np.sqrt(sample.by_term(spread) + 0.25))
+        along = sample.directions(err, min(DIRECTIONS, sample.m), rng)
+        loading = np.abs(along) / np.maximum(np.abs(along).max(0), 1e-30)
+        paired = sample.pairs(np.flatnonzero((loading >= LOADING).any(1)), err, spread)
+        new = np.setdiff1d(np.union1d(single, paired), active)
+        if not len(new):
+            break
+        start = rng.normal(0, 0.02, (len(new), factors)).astype(np.float32)
+        # terms of pairs start out along the directions that show them
+        k = min(along.shape[1], factors)
+        start[:, :k] += np.where(np.isin(new, paired)[:, None], 0.3 * along[new, :k] / np.maximum(np.abs(along[:, :k]).max(0), 1e-30), 0)
+        active = np.concatenate([active, new])
+        order = np.argsort(active)
+        active = active[order]
+        par = [par[0], np.concatenate([par[1], np.zeros(len(new), np.float32)])[order], np.concatenate([par[2], start])[order]]
+        par, logit = _fitted(sample, active, par, y, epochs if n >= 2000 else epochs * 4, rng)
+    return Machine(sample.terms[active], float(par[0][0]), par[1].astype(np.float64), par[2].astype(np.float64))
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, label_col: str, train_rows: int, keep=None) -> tuple[list[np.ndarray], np.ndarray]:
@@ -140,7 +232,16 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label_col: str, train_row
 
     rows = common.renamed(docs, doc_id="doc_id", text="text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.transform(common.batches, work, f"doc_id {kind}, label int, terms binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("terms").alias("terms"))
+    found = common.cut(rows.transform(common.batches, work, f"doc_id {kind}, label int, terms binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")))
+    sizes = found.select("doc_id", (F.length("terms") / 4).cast("long").alias("n")).orderBy(F.xxhash64("doc_id")).collect()
+    held, out = 0, []
+    for r in sizes:
+        if held + r.n > TRAIN_TERMS:
+            out.append(r.doc_id)
+        else:
+            held += r.n
+    if out:
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in out], f"doc_id {kind}")), "doc_id", "left_anti")
     got = found.toArrow().sort_by("doc_id")
     return [np.frombuffer(t, dtype="<i4") for t in got["terms"].to_pylist()], np.array(got["label"].to_pylist(), dtype=np.int64)
 
