@@ -5,12 +5,21 @@ params: key string, row_id int, vec array<float>. A bias is a vector of one.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import numbers as num
+from tokenloom.operators import joins
 from tokenloom.operators.segment import Lexicon, segment_words
 
+#: Output rows that one broadcast holds.
+OUTPUTS = 4096
+
 
 # -- transfer -------------------------------------------------------------
 def transfer(params: DataFrame, row_map: DataFrame, initial: DataFrame) -> DataFrame:
@@ -47,7 +56,7 @@ def added_ids(target: DataFrame, row_map: DataFrame) -> DataFrame:
 
 def donor_paths(added: DataFrame, donors: DataFrame) -> DataFrame:
     """added_id and path: the ids of the donors that spell an added piece; empty where none do."""
-    rows = [(r.piece, r.score, r.id) for r in donors.select("piece", "score", "id").collect()]
+    rows = [(r.piece, r.score, r.id) for r in joins.bounded(donors.select("piece", "score", "id"))]
     found = segment_words(added.select(F.col("piece").alias("word")).distinct(), Lexicon.from_rows(rows), strict=True)
     joined = added.join(found, added.piece == found.word, "left")
     return joined.select(F.col("id").alias("added_id"), F.coalesce("path", F.array().cast("array<int>")).alias("path"))
@@ -81,17 +90,40 @@ def donor_means(params: DataFrame, paths: DataFrame, donors: DataFrame) -> DataF
     every = _means(used, "key")
     steps = paths.select("added_id", F.explode("path").alias("row_id"))
     own = _means(steps.join(used, "row_id"), "key", "added_id")
-    rows = paths.select("added_id").join(F.broadcast(every.withColumnRenamed("vec", "every")))
+    # as many rows as there are kinds of parameters
+    kinds = params.sparkSession.createDataFrame(joins.bounded(every, 10_000), every.schema).withColumnRenamed("vec", "every")
+    rows = paths.select("added_id").join(F.broadcast(kinds))
     joined = rows.join(own, ["key", "added_id"], "left")
     return joined.select("key", F.col("added_id").alias("row_id"), F.coalesce("vec", "every").alias("vec"))
 
 
 def _means(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys and vec: means by place, in double precision, then as floats."""
-    parts = rows.select(*keys, F.posexplode("vec").alias("dim", "x"))
-    means = parts.groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).cast("float").alias("m"))
-    found = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("s"))
-    return found.select(*keys, F.transform("s", lambda x: x["m"]).alias("vec"))
+    """keys and vec: means by place, in double precision, then as floats.
+
+    Each batch is summed as matrices first, so only sums are taken apart and shuffled.
+    """
+
+    def sums(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, vec = batch.column(0).dictionary_encode(), batch.column(1)
+            code, width = np.asarray(names.indices, dtype=np.int64), np.asarray(pc.list_value_length(vec).fill_null(-1), dtype=np.int64)
+            for w in np.unique(width[width >= 0]).tolist():
+                of = np.flatnonzero(width == w)
+                of = of[np.argsort(code[of], kind="stable")]
+                x = np.asarray(vec.take(pa.array(of)).flatten(), dtype=np.float64).reshape(len(of), w)
+                heads = np.flatnonzero(np.concatenate([[True], code[of][1:] != code[of][:-1]]))
+                total = np.add.reduceat(x, heads, axis=0) if w else np.zeros((len(heads), 0))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(heads) + 1) * w, pa.int32()), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(code[of[heads]])), pa.array(np.diff(np.append(heads, len(of)))), lists], names=["g", "n", "s"])
+
+    group = F.to_json(F.struct(*keys))
+    parts = rows.select(group.alias("g"), F.col("vec").cast("array<double>")).mapInArrow(sums, "g string, n bigint, s array<double>").select("g", "n", F.posexplode("s").alias("dim", "x"))
+    means = parts.groupBy("g", "dim").agg((F.sum("x") / F.sum("n")).cast("float").alias("m"))
+    found = means.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("s"))
+    kind = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return found.select(F.from_json("g", kind).alias("k"), F.transform("s", lambda x: x["m"]).alias("vec")).select("k.*", "vec")
 
 
 def shifted_bias(mean: Column, shift: Column) -> Column:
@@ -113,16 +145,38 @@ def masked(logits: DataFrame, pieces: DataFrame, enabled: bool = True) -> DataFr
     """logits (..., id, logit) with minus infinity at inactive slots; unchanged if the mask is off."""
     if not enabled:
         return logits
-    flags = pieces.select("id", "is_active")
-    joined = logits.join(F.broadcast(flags), "id", "left")
+    joined = joins.checked(logits, pieces.select("id", "is_active"), "id", "left")
     return joined.select(*(F.when(F.coalesce("is_active", F.lit(True)), F.col("logit")).otherwise(float("-inf")).alias("logit") if c == "logit" else F.col(c) for c in logits.columns))
 
 
 def output_logits(inputs: DataFrame, weights: DataFrame) -> DataFrame:
-    """row, id and logit of x . w + b for every input (row, x) and output row (id, w, b); the outputs are broadcast as one row."""
-    table = weights.agg(F.array_sort(F.collect_list(F.struct("id", "w", "b"))).alias("t"))
-    joined = inputs.join(F.broadcast(table)).select("row", "x", F.explode("t").alias("o"))
-    return joined.select("row", F.col("o.id").alias("id"), num.affine(F.col("x"), F.col("o.w"), F.col("o.b")).alias("logit"))
+    """row, id and logit of x . w + b for every input (row, x) and output row (id, w, b).
+
+    The result is a product by its nature. Inputs stay where they are and pass blocks of OUTPUTS output
+    rows, each broadcast by itself as a matrix.
+    """
+    spark = inputs.sparkSession
+    kind = f"row {inputs.schema['row'].dataType.simpleString()}, id {weights.schema['id'].dataType.simpleString()}, logit double"
+    ids = weights.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    parts = []
+    for low in range(ids.low, ids.high + 1, OUTPUTS) if ids.low is not None else ():
+        block = weights.where((F.col("id") >= low) & (F.col("id") < low + OUTPUTS)).select("id", F.col("w").cast("array<double>").alias("w"), F.col("b").cast("double").alias("b")).orderBy("id").toArrow().combine_chunks()
+        if not block.num_rows:
+            continue
+        id_, b = block["id"].combine_chunks(), np.asarray(block["b"], dtype=np.float64)
+        shared = spark.sparkContext.broadcast((id_, np.asarray(block["w"].combine_chunks().flatten(), dtype=np.float64).reshape(block.num_rows, -1), b))
+
+        def work(batches, shared=shared):
+            id_, w, b = shared.value
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    part = batch.slice(a, 256)
+                    x = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(-1, w.shape[1])
+                    logit = x @ w.T + b
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(x)), len(b)))), id_.take(pa.array(np.tile(np.arange(len(b)), len(x)))), pa.array(logit.ravel())], names=["row", "id", "logit"])
+
+        parts.append(inputs.where(F.size("x") > 0).select("row", F.col("x").cast("array<double>").alias("x")).mapInArrow(work, kind))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kind)
 
 
 def added_mass(logits: DataFrame, first_added: int) -> DataFrame:

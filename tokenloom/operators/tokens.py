@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as tx
+from tokenloom.operators import joins
 
 
 def lookup_ids(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
     """tokens (token, ...) with id, null where no piece spells so (it is not the unknown piece)."""
-    return tokens.join(F.broadcast(pieces.select(F.col("piece").alias("token"), "id")), "token", "left")
+    return joins.checked(tokens, pieces.select(F.col("piece").alias("token"), "id"), "token", "left")
 
 
 def strict_ids(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def strict_ids(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def lookup_tokens(ids: DataFrame, pieces: DataFrame, blank: int) -> DataFrame:
     """ids (id, ...) with token: the spelling, <blank> for the blank, null outside."""
-    found = ids.join(F.broadcast(pieces.select("id", "piece")), "id", "left")
+    found = joins.checked(ids, pieces.select("id", "piece"), "id", "left")
     return found.select(*ids.columns, F.coalesce("piece", F.when(F.col("id") == blank, tx.BLANK)).alias("token"))
 
 
@@ -48,8 +49,8 @@ def valid_ids(ids: Column, blank: int, inactive: Column) -> Column:
 
 
 def spelling_table(pieces: DataFrame) -> Column:
-    """All spellings of a vocabulary as one array literal, by id (a vocabulary is small and checked elsewhere)."""
-    rows = pieces.select("id", "piece", "type").orderBy("id").collect()
+    """All spellings of a vocabulary as one array literal, by id; an error if it isn't small."""
+    rows = joins.bounded(pieces.select("id", "piece", "type").orderBy("id"))
     if [r.id for r in rows] != list(range(len(rows))):
         raise ValueError("ids must be 0, 1, 2, ...")
     texts = [tx.UNKNOWN_TEXT if r.type == 2 else "" if r.type == 3 else r.piece for r in rows]

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tokenloom.functions import text as tx
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED = 1, 2, 3, 4, 5
-BASE_PIECES, ADDED_PIECES, LONGEST_WORD = 2000, 500, 24
+BASE_PIECES, ADDED_PIECES = 2000, 500
+#: Places of a word whose substrings are listed at once.
+STRETCH = 64
 PROFILES = ("original", "latin", "latin-indic", "full")
 #: Profiles whose slots outside Latin are inactive, and those that append additions.
 LIMITED, EXTENDED = ("latin", "latin-indic"), ("latin-indic", "full")
@@ -21,16 +23,20 @@ LATIN = "^[▁!-~]+$"
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (with its boundary mark) and n, over all texts; words of over LONGEST_WORD characters are no source of pieces."""
-    words = docs.select(F.explode(tx.text_words(F.col("text"))).alias("word"))
-    return words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n"))
+    """word (with its boundary mark) and n, over all texts."""
+    return docs.select(F.explode(tx.text_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def substring_counts(words: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """piece and n: how often each substring of these lengths occurs in the counted words."""
-    spots = F.expr(f"filter(sequence({shortest}, {longest}), l -> l <= length(word))")
-    pieces = F.flatten(F.transform(spots, lambda k: F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda b: F.substring(F.col("word"), b, k))))
-    return words.select("n", F.explode(pieces).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
+    """piece and n: how often each substring of these lengths occurs in the counted words.
+
+    Words of any length are listed STRETCH places at a time, each stretch with what its last pieces need beyond it.
+    """
+    begins = F.explode(F.expr(f"sequence(0, (length(word) - 1) div {STRETCH})")).alias("k")
+    parts = words.where("word <> ''").select("n", "word", begins).select("n", F.substring(F.col("word"), F.col("k").cast("int") * STRETCH + 1, F.lit(STRETCH + longest - 1)).alias("part"))
+    spots = F.expr(f"filter(sequence({shortest}, {longest}), l -> l <= length(part))")
+    pieces = F.flatten(F.transform(spots, lambda k: F.transform(F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.length("part") - k + 1)), lambda b: F.substring(F.col("part"), b, k))))
+    return parts.select("n", F.explode(pieces).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def ranked(counts: DataFrame, most: int, first: int) -> DataFrame:

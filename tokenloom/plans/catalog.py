@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import numbers as num
 from tokenloom.functions import text as tx
-from tokenloom.operators import checks, coverage, parameters, prompts, tokens
+from tokenloom.operators import checks, coverage, joins, parameters, prompts, tokens
 from tokenloom.operators import vocabulary as voc
 from tokenloom.operators.segment import Lexicon, sampled, segment_words, tokenize
 from tokenloom.plans import oracles
@@ -27,8 +27,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held(df: DataFrame) -> DataFrame:
-    """A small table of bounded size, computed once."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """A small table, computed once; an error if it isn't small."""
+    return df.sparkSession.createDataFrame(joins.bounded(df), df.schema)
 
 
 def _base(spark, sf_dir) -> DataFrame:
@@ -196,8 +196,8 @@ def _rows(spark, sf_dir) -> DataFrame:
 
 def _steps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Paths of added rows over embedding ids, by arithmetic: every eighth added row falls back to all donors."""
-    donors = _rows(spark, sf_dir).where("row_id % 2 = 0").select(F.col("row_id").alias("id"))
-    ids = F.when(F.col("id") % 8 == 0, F.array()).otherwise(F.array(F.col("id") % 7 * 2, F.col("id") % 5 * 4, F.col("id") % 7 * 2)).cast("array<int>")
+    donors = _rows(spark, sf_dir).select(F.col("row_id").alias("id"))
+    ids = F.when(F.col("id") % 8 == 0, F.array()).otherwise(F.array(F.col("id") % 7, F.col("id") % 5 * 2, F.col("id") % 7)).cast("array<int>")
     paths = spark.range(64).select((F.col("id") + 1_000_000).cast("int").alias("added_id"), ids.alias("path"))
     return paths, donors
 
@@ -236,11 +236,11 @@ def finite_rows(spark, sf_dir):
 
 
 def _logits(spark, sf_dir) -> DataFrame:
-    """Eight inputs against the forty outputs of lowest ids, none of them large enough to need a table."""
-    rows = _rows(spark, sf_dir)
-    inputs = rows.where("row_id < 8").select(F.col("row_id").alias("row"), F.col("vec").alias("x"))
-    weights = rows.where("row_id >= 8 and row_id < 48").select((F.col("row_id") - 8).alias("id"), F.col("vec").alias("w"), (F.col("row_id") / 100).alias("b"))
-    return parameters.output_logits(inputs, weights)
+    """Every embedding as an input against forty outputs whose weights are made by arithmetic."""
+    inputs = _rows(spark, sf_dir).select(F.col("row_id").alias("row"), F.col("vec").alias("x"))
+    width = inputs.agg(F.max(F.size("x")).alias("n")).first().n or 0
+    weight = F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)), lambda d: ((F.col("id") * 7 + d * 3) % 11 - 5) / 8)
+    return parameters.output_logits(inputs, spark.range(40).select(F.col("id").cast("int").alias("id"), weight.alias("w"), (F.col("id") / 100).alias("b")))
 
 
 def masked_logits(spark, sf_dir):

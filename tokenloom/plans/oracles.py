@@ -12,7 +12,7 @@ _WORDS = f"""
 words AS MATERIALIZED (
   SELECT '▁' || x AS word, count(*) AS n
   FROM (SELECT unnest(string_split_regex(coalesce(text, ''), '{_SPLIT}')) AS x FROM documents)
-  WHERE x <> '' AND length(x) < {voc.LONGEST_WORD} GROUP BY x)"""
+  WHERE x <> '' GROUP BY x)"""
 
 
 def _substrings(low: int, high: int) -> str:
@@ -126,13 +126,13 @@ loads AS MATERIALIZED (
 
 _LOGITS = """
 logits AS MATERIALIZED (
-  SELECT CAST(i.vec_id AS INTEGER) AS row, CAST(o.vec_id - 8 AS INTEGER) AS id,
-         list_sum(list_transform(list_zip(i.embedding, o.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) + o.vec_id / 100 AS logit
-  FROM embeddings i, embeddings o WHERE i.vec_id < 8 AND o.vec_id >= 8 AND o.vec_id < 48)"""
+  SELECT CAST(vec_id AS INTEGER) AS row, CAST(o AS INTEGER) AS id,
+         list_sum(list_transform(embedding, lambda x, d: CAST(x AS DOUBLE) * ((o * 7 + (d - 1) * 3) % 11 - 5) / 8)) + o / 100 AS logit
+  FROM embeddings, range(40) t(o))"""
 
 _STEPS = """
 steps AS (
-  SELECT CAST(i + 1000000 AS INTEGER) AS added_id, CASE WHEN i % 8 = 0 THEN CAST([] AS BIGINT[]) ELSE [i % 7 * 2, i % 5 * 4, i % 7 * 2] END AS path FROM range(64) t(i)),
+  SELECT CAST(i + 1000000 AS INTEGER) AS added_id, CASE WHEN i % 8 = 0 THEN CAST([] AS BIGINT[]) ELSE [i % 7, i % 5 * 2, i % 7] END AS path FROM range(64) t(i)),
 cells AS MATERIALIZED (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)"""
 
 
@@ -195,7 +195,7 @@ def all_sql(prompts: list[tuple], sequences: list[tuple]) -> dict[str, str]:
             round(ln(0.05 / (CAST(m AS DOUBLE) / CAST(unit AS DOUBLE))), 9) AS shift FROM facts, units, (SELECT max(load) AS m FROM loads)""",
         "donor_means": f"""WITH {_STEPS} SELECT added_id AS row_id, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 4) + 0.0 AS x
             FROM (SELECT added_id, dim, x FROM (SELECT added_id, unnest(path) AS vec_id FROM steps) JOIN cells USING (vec_id)
-                  UNION ALL SELECT added_id, dim, x FROM steps, cells WHERE len(path) = 0 AND vec_id % 2 = 0) GROUP BY added_id, dim""",
+                  UNION ALL SELECT added_id, dim, x FROM steps, cells WHERE len(path) = 0) GROUP BY added_id, dim""",
         "transfer_rows": "SELECT 'embedding' AS key, CAST(vec_id * 2 + k AS INTEGER) AS row_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, CAST(len(embedding) AS INTEGER) AS n FROM embeddings, range(2) t(k)",
         "verify_transfer": "SELECT 'embedding' AS key, count(*) AS rows_checked, CAST(sum(len(embedding)) AS BIGINT) AS values_checked, CAST(sum(CASE WHEN (vec_id * 2 + 1) % 20 = 1 THEN len(embedding) ELSE 0 END) AS BIGINT) AS values_changed FROM embeddings",
         "failing_keys": "SELECT CASE WHEN count(*) FILTER ((vec_id * 2 + 1) % 20 = 1) > 0 THEN 'embedding' ELSE '' END AS failing FROM embeddings",
