@@ -36,9 +36,9 @@ TRAIN_ROWS = 12_000
 TRAIN_TERMS = 16_000_000
 PREFIXES = (4, 6)
 #: Standard errors by which a term, or a pair of terms, must be off to be learnt.
-TERM_ERRORS, PAIR_ERRORS = 3.0, 5.0
+TERM_ERRORS, PAIR_ERRORS = 2.5, 5.0
 #: Directions looked along, and the share of the largest loading that makes a term a candidate.
-DIRECTIONS, LOADING = 4, 0.2
+DIRECTIONS, LOADING = 4, 0.3
 #: Columns of one block of the pair test.
 BLOCK = 512
 
@@ -113,7 +113,7 @@ class _Sample:
         hit = chosen[at] == self.col if len(chosen) else np.zeros(len(at), dtype=bool)
         return self.row[hit], at[hit]
 
-    def directions(self, err: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
+    def directions(self, err: np.ndarray, k: int, rng, rounds: int = 6) -> np.ndarray:
         """Leading directions of sum_d err_d x_d x_d' / |d| off its diagonal, one column each."""
         share = (err / np.maximum(self.size, 1)).astype(np.float32)
         own = self.by_term(share).astype(np.float32)
@@ -182,7 +182,7 @@ def _fitted(sample: _Sample, active: np.ndarray, par: list[np.ndarray], y: np.nd
     return par, logit
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, factors: int = 8, epochs: int = 12, seed: int = 7, rounds: int = 6) -> Machine:
+def fit(rows: list[np.ndarray], label: np.ndarray, factors: int = 8, epochs: int = 25, seed: int = 7, rounds: int = 6) -> Machine:
     """Fit a machine on documents given as arrays of distinct buckets, and their 0/1 labels."""
     n = len(rows)
     if not n:
@@ -195,7 +195,9 @@ def fit(rows: list[np.ndarray], label: np.ndarray, factors: int = 8, epochs: int
     sample, logit, rng = _Sample(rows), np.full(n, bias), np.random.default_rng(seed)
     for _ in range(rounds if sample.m else 0):
         p = sigmoid(logit)
-        err, spread = y - p, p * (1 - p)
+        err = y - p
+        # no label counts as surer than labels are on the whole, or else wrong ones would make terms stand out
+        spread = np.maximum(err * err, prior * (1 - prior))
         single = np.flatnonzero(np.abs(sample.by_term(err)) > TERM_ERRORS * np.sqrt(sample.by_term(spread) + 0.25))
         along = sample.directions(err, min(DIRECTIONS, sample.m), rng)
         loading = np.abs(along) / np.maximum(np.abs(along).max(0), 1e-30)
