@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import common, words
 
-MOST_UNITS = 1 << 15
+MOST_UNITS = 1 << 14
 SIZE = 16
 CONTEXT = 5
 HEAD = 1 << 18
