@@ -119,8 +119,40 @@ def test_linked_sets_share_more_blocks_than_are_spare():
                     break
                 b = c
             b = np.sort(b)
-            row, band, spare, key = nearcopies.block_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), rule)
-            assert any(len(np.intersect1d(key[(row == 0) & (band == x)], key[(row == 1) & (band == x)])) > spare[band == x][0] for x in set(band.tolist()))
+            row, band, left, key = nearcopies.block_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), rule)
+            for order in (1, -1):  # whichever blocks are commonest
+                kept = [{(x, y) for x in set(band.tolist()) if ((row == r) & (band == x)).any() for y in np.sort(key[(row == r) & (band == x)])[::order][left[(row == r) & (band == x)][0] :].tolist()} for r in (0, 1)]
+                assert kept[0] & kept[1]
+
+
+def test_a_large_family_costs_as_many_rows_as_members(spark, documents, monkeypatch):
+    """Near copies of one text, dealt into parts: each goes to the hub's tasks once, and only the few others further."""
+    dice = random.Random(11)
+    rows = list(enumerate(family(dice, 120, 3000, 1)))
+    met, plain = [], nearcopies._links
+
+    def counting(tasks, percent, roots_of):
+        met.append(tasks.count())
+        return plain(tasks, percent, roots_of)
+
+    monkeypatch.setattr(nearcopies, "_links", counting)
+    monkeypatch.setattr(nearcopies.verified_links, "__defaults__", (nearcopies.SHINGLE, nearcopies.PERCENT, 64))
+    got = nearcopies.group_documents(documents(rows), 4, 85).collect()
+    assert {r.component_id for r in got} == {0}
+    # by sketch a member is in the groups of the few hubs that it shares blocks with, by set in one
+    classes = len({t for _, t in rows})
+    assert sum(met) < 6 * classes and met[-1] < 1.1 * classes, met
+
+
+def test_members_that_only_others_lead_to(spark):
+    """Chains: each member is like the next one, few are like the hub."""
+    base = [np.uint64(10**9 + i) for i in range(400)]
+    sets = {i: np.sort(np.array(base[4 * i : 4 * i + 200], dtype=np.uint64)) for i in range(50)}
+    rows = [(i, 0, 8 * len(s), bytearray(s.tobytes())) for i, s in sets.items()]
+    members = spark.createDataFrame(rows, "cls long, hub long, bytes long, members binary")
+    for group in (7, 16, 1000):
+        links = nearcopies._group_links(members, ("members",), lambda t: t, 85, nearcopies._by_set, group)
+        assert {r.node: r.root for r in nearcopies.components(links).collect()} == {i: 0 for i in range(50)}
 
 
 def test_components_of_chains_and_stars(spark):
@@ -136,6 +168,21 @@ def test_one_of_each_group_stays(spark, documents):
     kept = nearcopies.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 9]
     assert nearcopies.keep_one(docs.limit(0)).count() == 0
+    for order in (1, -1):  # of differing texts under one id always the same stays
+        twice = documents([(7, "b some text"), (7, "a other text"), (8, None)][::order], extra=True)
+        kept = nearcopies.keep_one(twice)
+        assert kept.columns == twice.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(7, "a other text"), (8, None)]
+
+
+def test_words_that_look_alike_to_sums(spark, documents):
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    # alike but for one word in the middle
+    texts = [" ".join([*(f"w{i}" for i in range(6)), w, *(f"v{i}" for i in range(6))]) for w in (one, other)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, one), (4, other)]
+    assert {r.doc_id: r.component_id for r in nearcopies.group_documents(documents(rows), 4, 85).collect()} == {i: i for i in range(1, 5)}
 
 
 def test_long_text(spark, documents):

@@ -6,14 +6,17 @@ and in at most as many blocks, as the sets differ in elements. B exceeds the
 largest difference that a link allows among documents of a size band by some
 spare blocks; linked documents therefore agree in more blocks than are spare,
 and blocks (band, number, parity and XOR of the elements' hashes) are joined.
-Each document leaves out as many of its commonest blocks as are spare, which
-loses no link, as it then still shares a rarer one. Documents that share
-blocks with the same hub form a group, in which sizes and the bit distance of
-their sketches rule out almost every pair; each set then goes once to the group
-of all documents that the remaining pairs lead to, where links are verified.
-Groups of over GROUP documents are compared in pairs of parts, each a task of
-its own. Only a star of links for each task's components leaves it; the
-components of all links follow by alternating star contraction.
+Each document leaves out as many of its commonest blocks as are spare, the
+empty ones before anything is shuffled, which loses no link, as it then still
+shares a rarer one. Documents that share blocks with the same hub form a group,
+in which sizes and the bit distance of their sketches rule out almost every
+pair; each set then goes once to the group of all documents that the remaining
+pairs lead to, where links are verified. A group of over GROUP documents or
+GROUP_BYTES is dealt into parts: all are compared with the hub first, and only
+those that are not linked to it with all others, so a family of near copies
+costs as many comparisons as it has members. Only a star of links for each
+task's components leaves it; the components of all links follow by alternating
+star contraction.
 
 Equal sets are one class and are joined once, so copies cost nothing; hashes of
 shingles and classes have 64 bits. Null and empty texts have an empty set, link
@@ -35,7 +38,8 @@ from tokenloom.llm import common, words
 
 SHINGLE = 5
 PERCENT = 80
-GROUP = 512
+#: Members and bytes of sketches or sets that one task of a group holds, of one side.
+GROUP, GROUP_BYTES = 512, 32 << 20
 #: Bits of the smallest sketches that candidates are compared by; larger sets have as many bits as members, to a power of two.
 SKETCH_BITS = 256
 #: Sizes of a band reach from one bound to this multiple of it.
@@ -132,7 +136,14 @@ def block_keys(value: np.ndarray, at: np.ndarray, rule: Rule) -> tuple[np.ndarra
     owner = np.repeat(np.arange(len(row)), blocks)
     number = np.arange(total) - first[owner]
     key = words.mix(words.mix(parity) ^ xor ^ words.mix((band[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)))
-    return row[owner], band[owner], spare[owner], key
+    # empty blocks are the commonest: as many as are spare stay out
+    empty = np.ones(total, dtype=bool)
+    empty[block] = False
+    before = np.cumsum(empty) - empty
+    out = empty & (before - before[first[owner]] < spare[owner]) if total else empty
+    left = spare - np.bincount(owner[out], minlength=len(row))
+    owner, key = owner[~out], key[~out]
+    return row[owner], band[owner], left[owner], key
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -289,17 +300,45 @@ def linked_roots(sets: list[np.ndarray], rule: Rule, side: np.ndarray | None = N
     return roots.all()
 
 
-def _placed(members: DataFrame, group: int) -> DataFrame:
-    """Members (cls, hub) with the tasks (hub, i, j) that they go to and the part (side) they are of.
+def _group_links(members: DataFrame, held: tuple[str, ...], with_payload, percent: int, roots_of, group: int) -> DataFrame:
+    """Star links (a, b) between members (cls, hub, bytes and the columns `held`) of one hub.
 
-    A group of up to `group` members is one task; a larger one is dealt into parts, each of which
-    meets itself and every other part once.
+    with_payload: tasks (hub, i, j, side, cls and `held`) to what _links takes.
     """
-    large = common.cut_light(members.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > group).select("hub", F.ceil(F.col("n") / group).cast("int").alias("parts")))
-    placed = common.join_checked(members, large, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return placed.select("cls", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
+
+    def tasks(df: DataFrame, i, j, side) -> DataFrame:
+        placed = df.select("hub", F.lit(i).cast("int").alias("i") if isinstance(i, int) else i.alias("i"), F.lit(j).cast("int").alias("j") if isinstance(j, int) else j.alias("j"), F.lit(side).cast("int").alias("side"), "cls", *held)
+        return with_payload(placed)
+
+    def parts_of(df: DataFrame, name: str) -> DataFrame:
+        sums = df.groupBy("hub").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+        return sums.select("hub", F.greatest(F.ceil(F.col("n") / group), F.ceil(F.col("b") / GROUP_BYTES)).cast("int").alias(name))
+
+    def dealt(df: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+        return common.join_checked(df, parts, "hub").withColumn("own", F.pmod(F.xxhash64("cls"), F.col(name)).cast("int"))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    large = common.cut_light(parts_of(members, "parts").where("parts > 1"))
+    if large.isEmpty():
+        return _links(tasks(members, 0, 0, 0), percent, roots_of)
+    few = _links(tasks(common.join_checked(members, large, "hub", "left_anti"), 0, 0, 0), percent, roots_of)
+    many = dealt(members, large, "parts")
+    # every part against the hub, which may have left out the block itself
+    hubs = (many.where("cls = hub").dropDuplicates(["hub"]) if held else large.withColumn("cls", F.col("hub"))).withColumn("own", every("parts"))
+    others = many.where("cls <> hub")
+    stars = common.cut(_links(tasks(hubs, F.col("own"), 0, 0).unionByName(tasks(others, F.col("own"), 0, 1)), percent, roots_of))
+    alone = others.join(stars.select(F.col("a").alias("cls"), F.col("b").alias("hub")), ["cls", "hub"], "left_anti").dropDuplicates(["cls", "hub"])
+    alone = common.cut(alone.drop("own", "parts"))
+    links = few.unionByName(stars)
+    if alone.isEmpty():
+        return links
+    # those that are not linked to the hub against every part
+    blocks = common.cut_light(parts_of(alone, "blocks"))
+    asked = dealt(common.join_checked(alone, large, "hub"), blocks, "blocks").withColumnRenamed("own", "block").withColumn("own", every("parts"))
+    met = common.join_checked(many, blocks, "hub").withColumn("block", every("blocks"))
+    return links.unionByName(_links(tasks(asked, F.col("own"), F.col("block"), 0).unionByName(tasks(met, F.col("own"), F.col("block"), 1)), percent, roots_of))
 
 
 def _links(tasks: DataFrame, percent: int, roots_of) -> DataFrame:
@@ -313,20 +352,20 @@ def _links(tasks: DataFrame, percent: int, roots_of) -> DataFrame:
             for *key, side, cls, payload in zip(*columns[:5], zip(*columns[5:])):
                 if key != name:
                     if held:
-                        yield name, held
+                        yield held
                     name, held = key, []
-                if not held or held[-1][0] != cls:
+                if not held or held[-1][:2] != (cls, side):
                     held.append((cls, side, payload))
         if held:
-            yield name, held
+            yield held
 
     def work(batches):
         rule = Rule(percent)
         a, b = [], []
-        for (_, i, j), held in groups(batches):
-            side = None if i == j else np.array([x[1] == j for x in held], dtype=np.int64)
-            for x, r in enumerate(roots_of([x[2] for x in held], rule, side)):
-                if r != x:
+        for held in groups(batches):
+            side = np.array([x[1] for x in held], dtype=np.int64)
+            for x, r in enumerate(roots_of([x[2] for x in held], rule, side if side.any() else None)):
+                if held[r][0] != held[x][0]:
                     a.append(held[x][0])
                     b.append(held[r][0])
             if len(a) > 10_000:
@@ -334,7 +373,7 @@ def _links(tasks: DataFrame, percent: int, roots_of) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "cls")
+    dealt = tasks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "cls", "side")
     return dealt.transform(common.batches, work, "a bigint, b bigint")
 
 
@@ -360,14 +399,15 @@ def verified_links(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percen
     # The order of blocks is the same for all classes.
     common_first = F.dense_rank().over(Window.partitionBy("cls", "place").orderBy(F.desc("n"), "key"))
     rare = shared.withColumn("place_in", common_first).where(F.col("place_in") > F.col("place").bitwiseAND(0xFFFFFF))
-    members = common.cut_light(rare.select("cls", "hub").distinct())
+    # a band's bound tells how large the sketches of its sets can be
+    bytes_ = F.pow(F.lit(BAND), F.shiftright("place", 24) + 2) / 8 + 32
+    members = common.cut_light(rare.groupBy("cls", "hub").agg(F.max(bytes_).alias("bytes")))
     # classes of one hub share blocks; sizes and sketches leave the pairs that may be linked
-    tasks = _placed(members, group).join(classes, "cls").select("hub", "i", "j", "side", "cls", "n_shingles", "sketch")
-    possible = components(_links(tasks, percent, _by_sketch))
+    possible = components(_group_links(members, (), lambda t: t.join(classes, "cls").select("hub", "i", "j", "side", "cls", "n_shingles", "sketch"), percent, _by_sketch, group))
     # each set goes once to the group of all that possible links lead to
-    placed = common.cut_light(_placed(possible.select(F.col("node").alias("cls"), F.col("root").alias("hub")), group))
-    tasks = common.join_checked(_sets(docs, k), placed, "cls", "inner", CLASS_ROWS).select("hub", "i", "j", "side", "cls", "members")
-    return _links(tasks, percent, _by_set)
+    placed = common.cut_light(possible.select(F.col("node").alias("cls"), F.col("root").alias("hub")))
+    sets = common.cut(common.join_checked(_sets(docs, k), placed, "cls", "inner", CLASS_ROWS).select("cls", "hub", F.length("members").alias("bytes"), "members"))
+    return _group_links(sets, ("members",), lambda t: t, percent, _by_set, group)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -417,7 +457,10 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     twice = common.cut_light(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     left = common.join_checked(docs, gone, "doc_id", "left_anti", CLASS_ROWS)
     single = common.join_checked(left, twice, "doc_id", "left_anti", CLASS_ROWS)
-    return single.unionByName(common.join_checked(left, twice, "doc_id", "left_semi", CLASS_ROWS).dropDuplicates(["doc_id"]))
+    # of rows with one id that of the smallest text, and then of the smallest other columns
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    double = common.join_checked(left, twice, "doc_id", "left_semi", CLASS_ROWS).groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("__row"))
+    return single.unionByName(double.select("__row.*"))
 
 
 def op4_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
