@@ -1,9 +1,12 @@
 """Secret scans with a random forest against false positives (operator 1, DataFrame and SQL functions only).
 
-Candidates are runs of 16 or more token characters with a digit. One pass of
-`split` and `regexp_extract_all` gives them with the text on both sides; each
-is described by its length, its character transitions, the share of it that
-dictionary words cover, the path of its document and the neighbouring words. A
+Candidates are runs of 16 or more token characters with a digit, which end
+before a slash that a known key form follows, and what a keyword assigns: runs
+of eight or more characters behind `password=`, `token: "` and the like, with or
+without a digit. One pass of `split` and `regexp_extract_all` gives them with
+the text on both sides; each is described by its length, its character
+transitions, the share of it that dictionary words cover, the path of its
+document and the neighbouring words (in the NEAR characters on either side). A
 forest fitted on labelled findings tells secrets from hashes, numbers, slugs
 and placeholders. Its trees are written out as one SQL expression that is
 evaluated inside the projection of the document, so scanning neither explodes
@@ -23,7 +26,15 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import common
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: Beginnings of keys that are known by their form.
+_FORMS = r"AKIA|ASIA|AGPA|gh[po]_|sk_live_|sk-|xox[bp]-|AIza|glpat-|npm_"
+_ASSIGNED = r"(?<=[:=\"'\s])(?<=(?:[Pp][Aa][Ss][Ss](?:[Ww][Oo][Rr][Dd]|[Ww][Dd]|[Pp][Hh][Rr][Aa][Ss][Ee])|[Pp][Ww][Dd]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Kk][Ee][Yy])[\"']?\s?[:=]\s?[\"']?)[A-Za-z0-9+/_.!@#$%^&*~-]{8,}+"
+_RUN = rf"(?:(?<![A-Za-z0-9+/_-])|(?<=/)(?={_FORMS}))(?=[A-Za-z0-9+/_-]{{16}})(?=[A-Za-z+/_-]*+[0-9])(?:[A-Za-z0-9+_-]++|/(?!{_FORMS}))++"
+CANDIDATE = rf"(?:{_ASSIGNED}|{_RUN})={{0,2}}"
+#: Characters on either side that neighbouring words are looked for in.
+NEAR = 64
+#: Candidates whose lengths are added up in one go.
+STRIDE = 256
 MASK = "[SECRET]"
 SECRET = 0.5
 #: Rows of the default labelled findings, a documented bound.
@@ -33,7 +44,7 @@ TREES, DEPTH = 24, 6
 DICTIONARY = "the and for test example sample dummy demo image photo thumb small large icon file page item user admin name data text html json config default version build release update order invoice number index main final draft copy backup report summary chapter section article session token secret password placeholder changeme your here insert value key foo bar baz lorem ipsum january february march april june july august monday friday sunday north south east west red green blue black white".split()
 _KEYWORD = r"(pass(word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth[a-z]*|credentials?|bearer|private[_-]?key|client[_-]?secret)"
 _BENIGN = r"(commit|rev(ision)?|sha-?[0-9]*|md5|checksum|digest|uuid|guid|etag|order|invoice|card|isbn|phone|build|version|hash|tracking|serial)"
-_KNOWN = r"^(AKIA|ASIA|AGPA|ghp_|gho_|sk_live_|sk-|xox[bp]-|AIza|glpat-|npm_)"
+_KNOWN = rf"^/?({_FORMS})"
 
 #: Features by name, over the strings c (candidate), b (text before), a (text after) and p (path).
 FEATURES = {
@@ -96,6 +107,8 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         (f"left({hexes}, {size})", pick(lead, 11), 1),
         (f"left({b64}, {size})", pick(lead, 12), 1),
         (f"concat({pick(['AKIA', 'ASIA'], 13)}, left({capital}, 16))", f"if(id % 3 = 0, {pick(lead, 14)}, concat({pick(prose, 15)}, ' '))", 1),
+        (f"left(translate({b64}, '+/0123456789', 'kqGhWmRtYzXb'), 8 + cast(pmod(hash(id, 41), 17) as int))", pick(lead, 42), 1),
+        (f"concat(left({b64}, 5), {pick(['!', '.', '#', '_', '-'], 43)}, right({b64}, 3 + cast(pmod(hash(id, 44), 6) as int)))", pick(lead, 45), 1),
         (f"concat({pick(['ghp_', 'sk_live_', 'xoxb-', 'glpat-', 'AIza'], 16)}, left({b64}, 36))", f"if(id % 3 = 0, {pick(lead, 17)}, concat({pick(prose, 18)}, ' '))", 1),
         # no secrets
         (f"left({digits}, {pick(['16', '16', '18', '20'], 19)})", f"concat({pick(prose, 20)}, ' ')", 0),
@@ -105,6 +118,8 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         (slug("'_'"), f"if(id % 4 = 0, {pick(lead, 28)}, concat({pick(prose, 29)}, ' '))", 0),
         (f"concat({pick(['your-api-key-here-', 'xxxxxxxxxxxxxxxx', 'changeme-changeme-', 'example-token-example-', '0000000000000000', 'placeholder-value-'], 30)}, cast(pmod(hash(id, 36), 99) as string))", pick(lead, 35), 0),
         (f"left({digits}, 16)", pick(benign, 37), 0),
+        (f"concat({pick(DICTIONARY, 46)}, {pick(['', '', '.', '_', '-'], 47)}, {pick(DICTIONARY, 48)})", pick(lead, 49), 0),
+        (f"concat({pick(['reading', 'writing', 'management', 'rotation', 'generator', 'required', 'unbekannt', 'nouvelle', 'siguiente'], 50)}, {pick(['', '', '.', '-'], 51)}, {pick(['', '', 'policy', 'storage', 'handler'], 52)})", pick(lead, 53), 0),
     ]
     case = lambda k: "case " + " ".join(f"when kind = {i} then {x[k]}" for i, x in enumerate(kinds)) + " end"
     base = spark.range(rows, numPartitions=2).selectExpr("id", f"cast(pmod(hash(id, 1), {len(kinds)}) as int) as kind")
@@ -141,26 +156,33 @@ def forest_sql(model, array: str = "f") -> str:
 def scan(docs: DataFrame, model, text_col: str = "text", path_col: str | None = "source", least: float = SECRET) -> DataFrame:
     """The rows of docs with a column `findings`: structs of candidate, begin, end (characters) and score, in order.
 
-    A second column, `redacted`, is the text with findings of at least `least` masked.
+    A second column, `redacted`, is the text with findings of at least `least` masked. They are the last two
+    columns, with underscores behind their names where docs has such columns in any case.
     """
-    taken = set(docs.columns)
+    taken = list(docs.columns)
     found, clean = "findings", "redacted"
-    while found in taken or clean in taken:
+    while {found, clean} & {c.lower() for c in taken}:
         found, clean = found + "_", clean + "_"
+    c_, p_, n_, f_ = (common.free_name([*taken, found, clean], name) for name in ("__c", "__p", "__n", "__f"))
     text = f"coalesce(`{text_col}`, '')"
     path = f"coalesce(cast(`{path_col}` as string), '')" if path_col in taken else "''"
-    pattern = CANDIDATE.replace("\\", "\\\\")
+    pattern = CANDIDATE.replace("\\", "\\\\").replace("'", "\\'")
     score = forest_sql(model, "x.f")
     some = f"{text} rlike '{pattern}'"
-    steps = docs.withColumn("__c", F.expr(f"if({some}, regexp_extract_all({text}, '{pattern}', 0), array())")).withColumn("__p", F.expr(f"if({some}, split({text}, '{pattern}'), array({text}))"))
-    # begins: lengths of all pieces and candidates before
-    steps = steps.withColumn("__n", F.expr("aggregate(sequence(0, size(__c)), array(0), (s, i) -> if(i = size(__c), s, concat(s, array(element_at(s, -1) + length(__p[i]) + length(__c[i])))))"))
-    described = _features("c", "right(__p[i], 64)", "left(__p[i + 1], 64)", path)
-    steps = steps.withColumn("__f", F.expr(f"transform(__c, (c, i) -> struct(c as candidate, __n[i + 1] - length(c) as begin, __n[i + 1] as `end`, {described} as f))"))
-    steps = steps.withColumn(found, F.expr(f"transform(__f, x -> struct(x.candidate as candidate, x.begin as begin, x.`end` as `end`, {score} as score))"))
-    masked = f"if({found}[i].score >= {least}, '{MASK}', __c[i])"
-    steps = steps.withColumn(clean, F.expr(f"if(`{text_col}` is null, null, array_join(transform(__p, (t, i) -> if(i < size(__c), concat(t, {masked}), t)), ''))"))
-    return steps.drop("__c", "__p", "__n", "__f")
+    steps = docs.withColumn(c_, F.expr(f"if({some}, regexp_extract_all({text}, '{pattern}', 0), array())")).withColumn(p_, F.expr(f"if({some}, split({text}, '{pattern}'), array({text}))"))
+    # where candidates end: lengths of all pieces and candidates, added up by strides and then within each
+    steps = steps.withColumn(n_, F.expr(f"transform({c_}, (c, i) -> length({p_}[i]) + length(c))"))
+    strides = f"transform(sequence(0, size({n_}) div {STRIDE}), j -> aggregate(slice({n_}, j * {STRIDE} + 1, {STRIDE}), 0, (s, x) -> s + x))"
+    before = f"aggregate({strides}, array(0), (s, x) -> concat(s, array(element_at(s, -1) + x)))"
+    # the sums before strides are a variable (b), so that they are not computed anew for each candidate
+    ends = f"transform({n_}, (x, i) -> b[i div {STRIDE}] + aggregate(slice({n_}, i - i % {STRIDE} + 1, i % {STRIDE} + 1), 0, (s, y) -> s + y))"
+    steps = steps.withColumn(n_, F.expr(f"element_at(transform(array({before}), b -> {ends}), 1)"))
+    described = _features("c", f"right({p_}[i], {NEAR})", f"left({p_}[i + 1], {NEAR})", path)
+    steps = steps.withColumn(f_, F.expr(f"transform({c_}, (c, i) -> struct(c as candidate, {n_}[i] - length(c) as begin, {n_}[i] as `end`, {described} as f))"))
+    steps = steps.withColumn(found, F.expr(f"transform({f_}, x -> struct(x.candidate as candidate, x.begin as begin, x.`end` as `end`, {score} as score))"))
+    masked = f"if({found}[i].score >= {least}, '{MASK}', {c_}[i])"
+    steps = steps.withColumn(clean, F.expr(f"if(`{text_col}` is null, null, array_join(transform({p_}, (t, i) -> if(i < size({c_}), concat(t, {masked}), t)), ''))"))
+    return steps.select(*(f"`{c}`" for c in taken), found, clean)
 
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", path_col: str | None = "source", findings: DataFrame | None = None) -> DataFrame:
