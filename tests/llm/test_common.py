@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.llm import common, words
@@ -80,3 +81,22 @@ def test_documents_are_word_borders():
     flat, offsets = common.flat_text(pa.array(["ab", "cd", "", " e"]))
     a, b, by = words.spans(flat, offsets)
     assert [flat[x:y].tobytes() for x, y in zip(a, b)] == [b"ab", b"cd", b"e"] and by.tolist() == [0, 1, 2, 2, 3]
+
+
+def test_free_names():
+    assert common.free_name(["Leak", "leak_"], "leak") == "leak__" and common.free_name([], "leak") == "leak"
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,15 +27,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run in one process.
+
+    On a cluster without that setting it is an error, as executors could not read each other's files.
+    """
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+        if not found:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            found = tempfile.mkdtemp(prefix="loom-checkpoint-")
+            atexit.register(shutil.rmtree, found, True)
+        spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name, with underscores behind it until no taken name equals it in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def leave_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a path of the shared folder deleted when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -43,11 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df once as a table in the shared folder and continue from there.
 
     Lineage ends and lost executors lose nothing; unlike checkpoint(), which
-    computes its input a second time to write it, this computes it once.
+    computes its input a second time to write it, this computes it once. The
+    table goes when the driver ends, or by forget_cuts.
     """
     path = fresh_path(df.sparkSession, "cut")
     _CUTS.append(path)
     df.write.parquet(path)
+    leave_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,7 +106,10 @@ def _returned() -> None:
 
 
 def batches(df: DataFrame, work, schema) -> DataFrame:
-    """mapInArrow with batches of bounded bytes, so that wide rows don't fill a task's memory."""
+    """mapInArrow with batches of bounded bytes, so that wide rows don't fill a task's memory.
+
+    Spark reads that bound when a plan runs, so the session keeps it.
+    """
 
     def tidy(found):
         try:

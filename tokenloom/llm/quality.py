@@ -5,12 +5,17 @@ all vote patterns in the corpus (at most 3**labellers rows) feed an
 expectation-maximisation that estimates how often each labeller is right on
 good and on bad documents. The posterior of each pattern then labels the
 training documents of a hashed linear scorer, fitted on at most `train_rows`
-documents (a documented bound: those whose content hashes lowest). Every
-document is scored on its whole text.
+documents of at most TRAIN_CHARS characters (documented bounds: those whose
+content hashes lowest). Every document is scored on its whole text.
 
 Null and empty texts have no word: all labellers abstain and the scorer sees
 its bias alone. Repeated rows score alike, an empty table gives an empty
 result, other columns are ignored, ids may be null.
+
+The labellers know different kinds of bad documents and call nearly all good
+ones good, so two things are held to be known and are not estimated freely: a
+labeller is wrong on a good document with a chance of FALSE_ALARM at most, and
+between 5 % and 95 % of documents are good.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import common, words
 
-TRAIN_ROWS = 8_000
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
 BITS = 16
 #: A document is kept from this score on.
 KEEP = 0.5
@@ -215,7 +220,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[float, np.ndarra
     post, _, _ = fit_labellers(pattern, count)
     posterior = dict(zip(_codes(pattern).tolist(), post.tolist()))
     # equal contents count once, so that no copied row can fill the sample
-    sample = common.lowest_hashes(docs.select(F.coalesce("text", F.lit("")).alias("text")), int(count.sum()), train_rows, "text")
+    plain = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS)
+    sample = common.lowest_hashes(plain, int(count.sum()), train_rows, "text")
 
     def work(batches):
         for part in common.text_slices(batches, "text"):
@@ -243,12 +249,10 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[float, np.ndarra
 
 
 def score(docs: DataFrame, scorer: tuple[float, np.ndarray]) -> DataFrame:
-    """Every row of docs, whole, with its quality score (0 to 1, higher is better)."""
+    """Every row of docs, whole, with its quality score (0 to 1, higher is better) as the last column, `quality_score` if that is free."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     at = docs.columns.index("text")
-    name = "quality_score"
-    while name in docs.columns:
-        name += "_"
+    name = common.free_name(docs.columns, "quality_score")
 
     def work(batches):
         bias, weight = shared.value
@@ -264,7 +268,8 @@ def score(docs: DataFrame, scorer: tuple[float, np.ndarray]) -> DataFrame:
 def keep_good(docs: DataFrame, least: float = KEEP) -> DataFrame:
     """The documents whose score is at least `least`, with the columns they came with."""
     plain = docs.select("text")
-    return score(docs, fit(plain)).where(F.col("quality_score") >= least).select(*docs.columns)
+    scored = score(docs, fit(plain))
+    return scored.where(F.col(f"`{scored.columns[-1]}`") >= least).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
