@@ -100,3 +100,15 @@ def test_index_by_brute_force(alphabet):
         for w, row in enumerate(window):
             want = [i for i in range(len(text) - n + 1) if text[i : i + n].tolist() == row[:n].tolist()]
             assert got.get(w, []) == want
+
+
+def test_clashing_columns_and_blocks(spark, documents, monkeypatch):
+    """A column LEAK, and items in blocks of a few words that are read one after the other."""
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(6)], "item_id long, text string")
+    docs = documents([(i, f"so {' '.join(f'w{i}x{k}' for k in range(11))} it is") for i in range(6)] + [(9, "nothing")]).selectExpr("*", "'kept' as LEAK")
+    whole = sorted((r.doc_id, r.LEAK, r.leak_.n_hit, r.leak_.items_sha256) for r in decontaminate.search_documents(docs, items).collect())
+    assert [x[1:3] for x in whole] == [("kept", 11)] * 6 + [("kept", 0)]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    assert len(list(decontaminate.blocks_of(items))) > 2
+    assert sorted((r.doc_id, r.LEAK, r.leak_.n_hit, r.leak_.items_sha256) for r in decontaminate.search_documents(docs, items).collect()) == whole
+    assert decontaminate.remove_passages(docs, items).columns == docs.columns

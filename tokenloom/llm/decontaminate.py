@@ -19,6 +19,7 @@ hits. Other columns of the documents pass through untouched.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,7 +190,21 @@ class FMIndex:
         return out
 
 
-def find(texts: pa.Array, blocks: list[Patterns], sample: int = SAMPLE):
+def blocks_of(items: DataFrame, width: int = WINDOW) -> Iterator[Patterns]:
+    """The patterns of items (item_id, text), about BLOCK_WORDS words at a time; no more of them is held at once."""
+    ids, texts, size = [], [], 0
+    for r in common.renamed(items, item_id="item_id", text="text").orderBy("item_id").toLocalIterator():
+        ids.append(r.item_id)
+        texts.append(r.text)
+        size += len(r.text or "") // 4
+        if size >= BLOCK_WORDS:
+            yield patterns(ids, texts, width)
+            ids, texts, size = [], [], 0
+    if ids:
+        yield patterns(ids, texts, width)
+
+
+def find(texts: pa.Array, blocks: Iterable[Patterns], sample: int = SAMPLE):
     """Hits of one shard: byte starts and ends of all words, word offsets by document, hit words, (document, item name)."""
     flat, offsets = common.flat_text(texts)
     flat = words.lowered(flat)
@@ -236,19 +251,9 @@ def search_documents(docs: DataFrame, items: DataFrame, width: int = WINDOW, tex
     the text comes back without them and `leak` is left away.
     """
     spark = docs.sparkSession
-    rows = common.renamed(items, item_id="item_id", text="text").orderBy("item_id").collect()
-    shared, ids, texts, size = [], [], [], 0
-    for k, r in enumerate(rows):
-        ids.append(r.item_id)
-        texts.append(r.text)
-        size += len(r.text or "") // 4
-        if size >= BLOCK_WORDS or k == len(rows) - 1:
-            shared.append(spark.sparkContext.broadcast(patterns(ids, texts, width)))
-            ids, texts, size = [], [], 0
+    shared = [spark.sparkContext.broadcast(p) for p in blocks_of(items, width)]
     at = docs.columns.index(text_col)
-    name = "leak"
-    while name in docs.columns:
-        name += "_"
+    name = common.free_name(docs.columns, "leak")
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
 
     def gathered(batches):
@@ -265,10 +270,14 @@ def search_documents(docs: DataFrame, items: DataFrame, width: int = WINDOW, tex
     batch_column = text_col
 
     def work(batches):
-        blocks = [b.value for b in shared]
+        def blocks():
+            """One block of patterns in memory at a time; only a single one is kept."""
+            for b in shared:
+                yield b.value if len(shared) == 1 else b.load_from_path(b._path)
+
         for shard in gathered(batches):
             column = shard.column(at)
-            starts, ends, by_doc, hit, found = find(column, blocks)
+            starts, ends, by_doc, hit, found = find(column, blocks())
             total = np.concatenate([[0], np.cumsum(hit)])
             n_hit = total[by_doc[1:]] - total[by_doc[:-1]]
             runs_from = hit & ~np.concatenate([[False], hit[:-1]]) if len(hit) else hit

@@ -401,11 +401,11 @@ def verified_links(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percen
     rare = shared.withColumn("place_in", common_first).where(F.col("place_in") > F.col("place").bitwiseAND(0xFFFFFF))
     # a band's bound tells how large the sketches of its sets can be
     bytes_ = F.pow(F.lit(BAND), F.shiftright("place", 24) + 2) / 8 + 32
-    members = common.cut_light(rare.groupBy("cls", "hub").agg(F.max(bytes_).alias("bytes")))
+    members = common.cut(rare.groupBy("cls", "hub").agg(F.max(bytes_).alias("bytes")))
     # classes of one hub share blocks; sizes and sketches leave the pairs that may be linked
     possible = components(_group_links(members, (), lambda t: t.join(classes, "cls").select("hub", "i", "j", "side", "cls", "n_shingles", "sketch"), percent, _by_sketch, group))
     # each set goes once to the group of all that possible links lead to
-    placed = common.cut_light(possible.select(F.col("node").alias("cls"), F.col("root").alias("hub")))
+    placed = common.cut(possible.select(F.col("node").alias("cls"), F.col("root").alias("hub")))
     sets = common.cut(common.join_checked(_sets(docs, k), placed, "cls", "inner", CLASS_ROWS).select("cls", "hub", F.length("members").alias("bytes"), "members"))
     return _group_links(sets, ("members",), lambda t: t, percent, _by_set, group)
 

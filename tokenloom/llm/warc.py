@@ -10,9 +10,10 @@ A null payload is empty, a null id is kept as null, and repeated rows each get a
 record. Among records with equal payloads of at least REVISIT_BYTES bytes
 those with the largest id are responses and the others revisits (rows that
 repeat the largest id are all responses). An empty table gives no archive and
-no row; other columns are ignored. Archives of one payload that itself holds
-whole archives must be written with compression on (the magic of an inner
-member would else stand in plain sight); this writer always compresses.
+no row; other columns are ignored. A payload that itself holds bytes of WARC
+members (which compression keeps in plain sight where it can't shrink them)
+could be taken for records when a range begins inside it; html as text can't
+hold such bytes.
 """
 
 from __future__ import annotations
@@ -199,7 +200,9 @@ _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type"
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a record per page, read the archives back and tell what each record holds."""
     planned = plan_records(common.table(spark, sf_dir, "pages"))
-    archives = write_archives(planned, common.fresh_path(spark, "warc"))
+    place = common.fresh_path(spark, "warc")
+    archives = write_archives(planned, place)
+    common.leave_at_exit(spark, place)
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
