@@ -39,7 +39,7 @@ from tokenloom.llm import common, words
 SHINGLE = 5
 PERCENT = 80
 #: Members and bytes of sketches or sets that one task of a group holds, of one side.
-GROUP, GROUP_BYTES = 512, 32 << 20
+GROUP, GROUP_BYTES = 128, 32 << 20
 #: Bits of the smallest sketches that candidates are compared by; larger sets have as many bits as members, to a power of two.
 SKETCH_BITS = 256
 #: Sizes of a band reach from one bound to this multiple of it.
