@@ -1,6 +1,7 @@
 """Operators on small hand-made vocabularies and parameters."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +253,61 @@ def test_network_shapes(spark):
     assert faults(rows(e=(3, 2), w=(4, 3), b=(4, 2))) == {("e", "rows"), ("b", "width")}
     assert faults(rows(e=(4, 2), w=(5, 3), b=(5, 1)), outputs=5) == {("w", "outputs"), ("b", "outputs")}
     assert faults(rows(e=(4, 2))) == {("w", "missing"), ("b", "missing")}
+
+
+def plain_path(lexicon, word, strict):
+    """The best path by prefixes: the highest sum from the left, then the smallest ids."""
+    best = [(0.0, ())] + [None] * len(word)
+    for b in range(len(word)):
+        for e in range(b + 1, len(word) + 1):
+            found = lexicon.pieces.get(word[b:e]) or ((lexicon.unknown, 0) if e == b + 1 and not strict else None)
+            if best[b] and found:
+                new = (best[b][0] + found[0], (*best[b][1], found[1]))
+                if best[e] is None or new[0] > best[e][0] or (new[0] == best[e][0] and new[1] < best[e][1]):
+                    best[e] = new
+    return best[-1] and (best[-1][0], list(best[-1][1])) if word else None
+
+
+@pytest.mark.parametrize("tenths", [False, True])
+def test_paths_equal_plain_sums_from_the_left(tenths):
+    """Whole scores give many ties, scores in tenths sums that differ by the order of adding."""
+    dice = random.Random(tenths)
+    for _ in range(60):
+        letters = "abc"[: dice.randint(1, 3)]
+        pieces = sorted({"".join(dice.choice(letters) for _ in range(dice.randint(1, 4))) for _ in range(20)}, key=lambda p: p[::-1])
+        lexicon = Lexicon.from_rows([(p, -dice.randint(1, 30) / 10 if tenths else -float(dice.randint(1, 4)), i + 1) for i, p in enumerate(pieces)])
+        words = ["".join(dice.choice(letters + "x") for _ in range(dice.randint(0, 14))) for _ in range(40)]
+        for strict in (False, True):
+            score, n, ids = lexicon.paths(words, strict)
+            ends = n.cumsum()
+            got = [None if s != s else (float(s), ids[e - k : e].tolist()) for s, k, e in zip(score, n, ends)]
+            assert got == [plain_path(lexicon, w, strict) for w in words]
+
+
+def test_very_long_words():
+    lexicon = Lexicon.from_rows([("a", -1003.0, 3), ("aa", -1001.0, 1), ("aaaa", -1002.0, 2)])
+    score, ids = lexicon.path("a" * 4001)
+    assert len(ids) == 1001 and score == -1002.0 * 1000 - 1003.0 and ids[0] == 2
+
+
+def test_retokenization_answers_per_row(spark):
+    from tokenloom.operators import coverage
+
+    docs = spark.createDataFrame([(1, "ab"), (1, "a"), (None, "ab"), (None, "a"), (2, None)], "doc_id long, text string")
+    one = Lexicon.from_rows([("▁", -1.0, 1), ("a", -1.0, 2), ("b", -1.0, 3)])
+    two = Lexicon.from_rows([("▁", -1.0, 1), ("a", -1.0, 2), ("ab", -1.0, 3)])
+    got = coverage.retokenization(docs, {"one": one, "two": two}, "one", "two").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, True), (1, False), (None, True), (None, False), (2, False)], key=str)
+
+
+def test_long_words_are_counted_whole(spark):
+    word = "".join(chr(97 + i % 23) for i in range(300))
+    docs = spark.createDataFrame([(1, f"{word} ab {word}")], "doc_id long, text string")
+    counts = voc.word_counts(docs)
+    assert {r.word: r.n for r in counts.collect()} == {"▁" + word: 2, "▁ab": 1}
+    want = {}
+    for w, n in (("▁" + word, 2), ("▁ab", 1)):
+        for k in range(2, 5):
+            for b in range(len(w) - k + 1):
+                want[w[b : b + k]] = want.get(w[b : b + k], 0) + n
+    assert {r.piece: r.n for r in voc.substring_counts(counts, 2, 4).collect()} == want

@@ -83,14 +83,61 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame(rows, "key string, row_id int, vec array<float>").write.parquet(str(tmp_path / "source" / "params"))
     assert main(["check", "--bundle", str(tmp_path / "bundle")]) == 0
     assert json.loads(capsys.readouterr().out)["native_vocabulary_size"] == 5
-    move = ["migrate", "--source", str(tmp_path / "source"), "--bundle", str(tmp_path / "bundle"), "--output", str(tmp_path / "out"), "--vocabulary-key", "emb", "--vocabulary-key", "bias", "--bias-key", "bias"]
-    assert main(move) == 0
+    source = str(tmp_path / "source")
+    move = ["migrate", "--source", source, "--bundle", str(tmp_path / "bundle"), "--output", str(tmp_path / "out"), "--vocabulary-key", "emb", "--vocabulary-key", "bias", "--bias-key", "bias"]
+    with pytest.raises(SystemExit):
+        main(move)
+    capsys.readouterr()
+    assert main([*move, "--source-sha256", "0" * 64]) == 1
+    digest = readers.folder_digest(spark, source)
+    assert digest in capsys.readouterr().err and not (tmp_path / "out").exists()
+    assert main([*move, "--source-sha256", digest]) == 0
+    assert json.loads(capsys.readouterr().out)["left_out"] == []
     got = {(r.key, r.row_id): r.vec for r in spark.read.parquet(str(tmp_path / "out" / "params")).collect()}
     assert got[("emb", 5)] == [3.0, 1.0] and got[("emb", 3)] == [1.5, 1.0] and got[("enc", 7)] == [3.0]
     assert got[("bias", 3)][0] < 1.5 and len(got) == 13
-    capsys.readouterr()
-    assert main(move) == 1
+    assert main([*move, "--source-sha256", digest]) == 1
     assert "exists" in capsys.readouterr().err
+    spark.createDataFrame([("emb", 9, [0.0])], "key string, row_id int, vec array<float>").write.mode("append").parquet(f"{source}/params")
+    assert readers.folder_digest(spark, source) != digest
+
+
+def test_bundles_by_name_with_pinned_manifests(spark, tmp_path, capsys):
+    base = spark.createDataFrame([(0, "<unk>", 0.0, 2), (1, "a", -1.0, 1)], SCHEMA)
+    pieces = base.withColumns({"profile": F.lit("original"), "is_active": F.lit(True), "blank_id": F.lit(2)})
+    for name, df in (("base", base), ("pieces", pieces), ("row_map", spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "source_id int, target_id int"))):
+        df.write.parquet(str(tmp_path / "b" / name))
+    (tmp_path / "b" / "note.txt").write_text("kept")
+    manifest = tmp_path / "b" / "manifest.json"
+    manifest.write_text(json.dumps({"profile": "original", "active_vocabulary_size": 2, "files": {"note.txt": hashlib.sha256(b"kept").hexdigest()}}))
+    names = tmp_path / "names.json"
+
+    def pinned(digest):
+        names.write_text(json.dumps({"bundles": {"mine": {"path": str(tmp_path / "b"), "manifest_sha256": digest}}}))
+        return main(["check", "--bundle", "mine", "--names", str(names)])
+
+    right = hashlib.sha256(manifest.read_bytes()).hexdigest()
+    assert pinned(right) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["profile"] == "original" and out["native_blank_id"] == 2 and len(out["tokenizer_sha256"]) == 64
+    assert pinned("0" * 64) == 1 and "pinned" in capsys.readouterr().err
+    (tmp_path / "b" / "note.txt").write_text("changed")
+    assert pinned(right) == 1 and "note.txt" in capsys.readouterr().err
+    assert main(["check", "--bundle", "elsewhere"]) == 1
+    with pytest.raises(SystemExit) as stop:
+        main(["build"])
+    assert stop.value.code == 2
+
+
+def test_model_metadata_without_pieces(spark, tmp_path):
+    import public_tokenizers
+
+    raw = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    (tmp_path / "one.model").write_bytes(raw)
+    (tmp_path / "two.model").write_bytes(raw + bytes([0x0A, 0x03, 0x0A, 0x01, 0x7A]))  # one more piece
+    (tmp_path / "three.model").write_bytes(raw + bytes([0x7A, 0x01, 0x7A]))  # one more other field
+    found = {r.name: r.sha256 for r in readers.model_metadata(spark, str(tmp_path)).collect()}
+    assert found["one.model"] == found["two.model"] != found["three.model"]
 
 
 def test_streams_equal_tables(spark, tmp_path):

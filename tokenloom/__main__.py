@@ -1,90 +1,101 @@
-"""python -m tokenloom check --bundle FOLDER | migrate --source FOLDER --bundle FOLDER --output FOLDER
+"""Command line of the engine.
 
-Folders hold Parquet: a bundle pieces, base and row_map; a source params (key,
-row_id, vec). Errors go to stderr and end with status 1.
+    python -m tokenloom check --bundle FOLDER_OR_NAME [--names FILE]
+    python -m tokenloom migrate --source FOLDER --source-sha256 DIGEST --bundle FOLDER_OR_NAME --output FOLDER ...
+
+Bundles hold Parquet (pieces, base, row_map) and may hold a manifest.json, whose
+file digests are checked then. A file of names maps short names to
+{"path": ..., "manifest_sha256": ...}; the second part pins the manifest. A
+source holds params (key, row_id, vec); its digest is that of readers.folder_digest.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from tokenloom import bundles
 from tokenloom.operators import checks, parameters
-from tokenloom.sources import writers
+from tokenloom.sources import readers, writers
+
+# The errors that end a command with status 1 and a line on stderr.
+FAILURES = (ValueError, OSError, RuntimeError, ImportError)
+
+
+class Outcome(NamedTuple):
+    status: int
+    text: str
 
 
-def _table(spark: SparkSession, folder: str, name: str):
-    return spark.read.parquet(f"{folder}/{name}")
+def _bundle(spark: SparkSession, options: argparse.Namespace) -> bundles.Bundle:
+    path, pinned = readers.named_bundle(spark, options.names, options.bundle)
+    return bundles.opened(spark, path, pinned)
 
 
-def check(spark: SparkSession, bundle: str) -> dict:
-    """What a bundle holds; a ValueError if its slots are not what they must be."""
-    pieces, base = _table(spark, bundle, "pieces"), _table(spark, bundle, "base")
-    checks.strict(checks.profile_faults(pieces, base), "slots differ from the base")
-    checks.strict(checks.donor_faults(pieces.where("is_active")), "pieces that can't be used")
-    found = pieces.agg(F.max("profile").alias("profile"), F.count("*").alias("native_vocabulary_size"), F.count_if("is_active").alias("active_vocabulary_size"), F.max("blank_id").alias("native_blank_id")).first()
-    return found.asDict() | {"structural_passed": True}
+def _inspect(spark: SparkSession, options: argparse.Namespace) -> dict:
+    """What a bundle holds, once all that must hold of it does."""
+    return _bundle(spark, options).described()
 
 
-def migrate(spark: SparkSession, source: str, bundle: str, output: str, ratio: float, vocabulary_keys: tuple[str, ...], bias_keys: tuple[str, ...]) -> dict:
-    """Move the rows of vocabulary keys to a bundle's ids, fill added rows from donors, keep all other rows, and write them with a report."""
-    if os.path.exists(output):
-        raise ValueError(f"{output} exists")
-    params, pieces, base, row_map = _table(spark, source, "params"), _table(spark, bundle, "pieces"), _table(spark, bundle, "base"), _table(spark, bundle, "row_map")
-    blank = base.agg((F.max("id") + 1).alias("b")).first().b
-    new_blank = pieces.agg(F.max("blank_id").alias("b")).first().b
-    checks.strict(checks.row_map_faults(row_map, blank, new_blank), "the row map is not one")
+def _move(spark: SparkSession, options: argparse.Namespace) -> dict:
+    """Move parameters to a bundle's ids and write them with a report."""
+    if writers.exists(spark, options.output):
+        raise ValueError(f"{options.output} exists")
+    if (found := readers.folder_digest(spark, options.source)) != options.source_sha256:
+        raise ValueError(f"the digest of {options.source} is {found}")
+    bundle = _bundle(spark, options)
+    params = spark.read.parquet(f"{options.source}/params")
     checks.strict(checks.value_faults(params), "parameters that are not finite")
-    donors = parameters.donor_pieces(base, row_map, pieces)
-    added = parameters.added_ids(pieces, row_map)
-    paths = parameters.donor_paths(added, donors).cache()
-    loads, unit = parameters.donor_loads(paths, donors)
-    checks.strict(parameters.load_faults(loads, paths, unit), "loads do not add up")
-    report = parameters.donor_report(paths, loads, unit, ratio)
-    mapped = row_map.select("source_id", "target_id")
-    others = params.where(~F.col("key").isin(*vocabulary_keys))
-    params = params.where(F.col("key").isin(*vocabulary_keys))
-    means = parameters.donor_means(params.join(mapped, params.row_id == mapped.source_id).select("key", F.col("target_id").alias("row_id"), "vec"), paths, donors)
-    shift = report.first().shift
-    if shift is not None:
-        means = means.withColumn("vec", F.when(F.col("key").isin(*bias_keys), F.transform("vec", lambda x: parameters.shifted_bias(x, F.lit(shift)))).otherwise(F.col("vec")))
-    done = parameters.transfer(params, mapped, means)
-    kept = parameters.verify_transfer(params, mapped, done)
-    checks.strict(kept.where("values_changed > 0"), "values changed")
-    writers.parameters(done.unionByName(others), f"{output}/params")
-    writers.vocabulary_text(pieces, f"{output}/vocabulary")
-    writers.report(report, f"{output}/report")
-    return {k: (v if isinstance(v, (int, float, str, type(None))) else str(v)) for k, v in report.first().asDict().items()}
+    done = bundle.migrated(params, options.max_new_mass_ratio, tuple(options.vocabulary_key), tuple(options.bias_key))
+    writers.parameters(done.params, f"{options.output}/params")
+    writers.vocabulary_text(bundle.pieces, f"{options.output}/vocabulary")
+    writers.report(done.report, f"{options.output}/report")
+    left_out = [r.asDict() for r in done.left_out.collect()]
+    return parameters.plain(done.report.first().asDict()) | {"seed": options.seed, "left_out": left_out}
 
 
-def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="tokenloom")
-    commands = parser.add_subparsers(dest="operation", required=True)
-    commands.add_parser("check").add_argument("--bundle", required=True)
-    move = commands.add_parser("migrate")
-    for name in ("source", "bundle", "output"):
-        move.add_argument(f"--{name}", required=True)
-    move.add_argument("--max-new-mass-ratio", type=float, default=0.05)
+def _arguments() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser(prog="tokenloom", description="Inspect bundles and move parameters to their ids.")
+    jobs = parser.add_subparsers(required=True, metavar="COMMAND")
+
+    def job(name: str, work: Callable) -> argparse.ArgumentParser:
+        own = jobs.add_parser(name, help=work.__doc__)
+        own.set_defaults(job=work)
+        own.add_argument("--bundle", required=True, help="a folder, or a name of the file of names")
+        own.add_argument("--names", help="a JSON file of named bundles")
+        return own
+
+    job("check", _inspect)
+    move = job("migrate", _move)
+    move.add_argument("--source", required=True)
+    move.add_argument("--source-sha256", required=True, help="the digest that the source must have")
+    move.add_argument("--output", required=True, help="a folder that does not exist yet")
     move.add_argument("--vocabulary-key", action="append", default=[], help="parameters with a row for each slot; repeat")
     move.add_argument("--bias-key", action="append", default=[], help="those of them that are biases")
-    args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("tokenloom").getOrCreate()
+    move.add_argument("--max-new-mass-ratio", type=float, default=0.05)
+    move.add_argument("--seed", type=int, default=0, help="noted in the report; nothing here is drawn by chance")
+    return parser
+
+
+def attempted(work: Callable[[], dict]) -> Outcome:
+    """The result as JSON, or what went wrong in one line."""
     try:
-        if args.operation == "check":
-            out = check(spark, args.bundle)
-        else:
-            out = migrate(spark, args.source, args.bundle, args.output, args.max_new_mass_ratio, tuple(args.vocabulary_key), tuple(args.bias_key))
-    except (ValueError, OSError, RuntimeError, ImportError) as error:
-        print(f"tokenloom: {error}", file=sys.stderr)
-        return 1
-    print(json.dumps(out, ensure_ascii=False, indent=2))
-    return 0
+        return Outcome(0, json.dumps(work(), ensure_ascii=False, indent=2))
+    except FAILURES as error:
+        return Outcome(1, f"tokenloom: {error}")
+
+
+def main(argv: list[str] | None = None) -> int:
+    options = _arguments().parse_args(argv)
+    done = attempted(lambda: options.job(SparkSession.builder.appName("tokenloom").getOrCreate(), options))
+    print(done.text, file=sys.stderr if done.status else sys.stdout)
+    return done.status
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    sys.exit(main())

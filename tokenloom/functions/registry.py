@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions import text as tx
-from tokenloom.operators.segment import Lexicon, merged_unknowns
+from tokenloom.operators.segment import Encoder, Lexicon
 
 
 def register(spark: SparkSession, lexicon: Lexicon, spellings: list[str], prefix: str = "loom") -> list[str]:
@@ -18,22 +22,23 @@ def register(spark: SparkSession, lexicon: Lexicon, spellings: list[str], prefix
     """
     shared = spark.sparkContext.broadcast((lexicon, spellings))
 
-    def ids_of(text: str | None) -> list[int]:
-        import re
+    encoders: dict[str, Encoder] = {}
 
-        out: list[int] = []
-        for w in re.split(tx.SEPARATOR, text or ""):
-            if w:
-                out += shared.value[0].path(tx.BOUNDARY + w)[1]
-        return merged_unknowns(out)
+    def lists(texts: pd.Series) -> list[np.ndarray]:
+        """Ids of a batch of texts; a worker keeps its encoder."""
+        if "own" not in encoders:
+            encoders["own"] = Encoder(shared.value[0])
+        words = [[tx.BOUNDARY + w for w in re.split(tx.SEPARATOR, t or "") if w] for t in texts]
+        ids, offsets = encoders["own"].ids(pa.array(words, pa.list_(pa.string())))
+        return np.split(ids, offsets[1:-1])
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(ids_of)
+        return pd.Series(lists(texts))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [shared.value[1][i] for i in ids_of(t)])
+        return pd.Series([[shared.value[1][i] for i in x] for x in lists(texts)])
 
     @F.pandas_udf(T.StringType())
     def text(rows: pd.Series) -> pd.Series:

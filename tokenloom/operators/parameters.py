@@ -37,6 +37,17 @@ def verify_transfer(params: DataFrame, row_map: DataFrame, moved: DataFrame) ->
     return joined.groupBy("key").agg(F.count("*").alias("rows_checked"), F.sum(F.size("want")).cast("long").alias("values_checked"), F.sum(off).cast("long").alias("values_changed"))
 
 
+def left_out(params: DataFrame, row_map: DataFrame) -> DataFrame:
+    """key, rows_removed and values_omitted: source rows that the map gives no place."""
+    gone = params.join(row_map.where("target_id is not null").select(F.col("source_id").alias("row_id")), "row_id", "left_anti")
+    return gone.groupBy("key").agg(F.count("*").alias("rows_removed"), F.sum(F.coalesce(F.size("vec"), F.lit(0))).cast("long").alias("values_omitted"))
+
+
+def plain(row: dict) -> dict:
+    """A report's row with all that JSON has no kind for as text."""
+    return {k: v if v is None or isinstance(v, (int, float, str)) else str(v) for k, v in row.items()}
+
+
 def failing_keys(report: DataFrame) -> DataFrame:
     """failing: the keys with changed values in one text, in their order."""
     return report.where("values_changed > 0").agg(F.coalesce(F.array_join(F.array_sort(F.collect_list("key")), ", "), F.lit("")).alias("failing"))

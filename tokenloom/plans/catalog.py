@@ -338,12 +338,47 @@ def same_dictionary(spark, sf_dir):
     return checks.same_dictionary(rows.where("profile = 'original'"), rows.where("profile = 'full' and name <> 'hi'"))
 
 
+def digest_faults(spark, sf_dir):
+    files = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), tx.digest(F.coalesce("text", F.lit(""))).alias("sha256"), "doc_id")
+    expected = files.where("doc_id % 7 <> 3").select("name", F.when(F.col("doc_id") % 11 == 5, "0").otherwise(F.col("sha256")).alias("sha256"))
+    return checks.digest_faults(files.where("doc_id % 13 <> 2").select("name", "sha256"), expected)
+
+
+def mass_shifts(spark, sf_dir):
+    return _rows(spark, sf_dir).select("row_id", F.round(num.mass_shift(0.05, F.col("row_id") + 1.5), 9).alias("shift"))
+
+
+def load_faults(spark, sf_dir):
+    paths, donors, _ = _donors(spark, sf_dir)
+    loads, unit = parameters.donor_loads(paths, donors)
+    first = donors.agg(F.min("id")).first()[0]
+    spoilt = loads.withColumn("load", F.col("load") + F.when(F.col("donor_id") == first, 1).otherwise(0))
+    return parameters.load_faults(spoilt, paths, unit).select(F.col("total").cast("string").alias("total"))
+
+
+def left_out_rows(spark, sf_dir):
+    params = _rows(spark, sf_dir)
+    mapped = params.where("row_id % 3 <> 1").select(F.col("row_id").alias("source_id"), F.when(F.col("row_id") % 5 != 2, F.col("row_id")).alias("target_id"))
+    return parameters.left_out(params, mapped)
+
+
+def tokens_to_text(spark, sf_dir):
+    # the spellings of every word that is one piece, and of its first letter where that is one too
+    base = _base(spark, sf_dir)
+    words = voc.word_counts(_docs(spark, sf_dir)).join(F.broadcast(base.select(F.col("piece").alias("word"))), "word", "left_semi")
+    rows = words.select(F.col("word").alias("k"), F.array("word", F.substring("word", 1, 2)).alias("tokens"))
+    rows = rows.join(F.broadcast(base.select(F.col("piece").alias("p"))), F.col("tokens")[1] == F.col("p"), "left_semi")
+    found = tokens.sequence_ids(rows, base, "k")
+    return found.select("k", tokens.detokenized(F.col("ids"), tokens.spelling_table(base)).alias("text"))
+
+
 _NAMES = {segment_words_query: "segment_words"}
 _ALL = [
     coverage_by_lang, vocab_topk, profile_active_vocab, profile_acoustic_vocab, profile_summary, placeholder_slots, append_additions, row_map, inactive_anti_join, distinct_spellings, symbol_restriction,
     segment_words_query, tokenize_documents, detokenize_roundtrip, token_lookup, id_lookup, ids_validate, retokenize_required, dominated_pieces, model_diff, profile_faults, layout_faults,
     donor_paths, donor_loads, donor_cmax, donor_means, transfer_rows, verify_transfer, failing_keys, finite_rows, masked_logits, mass_ratio, log_partition, prompt_slots, unused_prompt_slots,
     document_tokens, token_sequences, addition_faults, donor_faults, row_map_faults, shape_faults, network_faults, same_dictionary, content_digest, normalized_text, sampled_segmentation,
+    digest_faults, mass_shifts, load_faults, left_out_rows, tokens_to_text,
 ]
 
 

@@ -219,6 +219,12 @@ def all_sql(prompts: list[tuple], sequences: list[tuple]) -> dict[str, str]:
         "same_dictionary": f"""SELECT name, CAST(slot AS INTEGER) AS slot, side FROM (
             SELECT name, slot, 'left' AS side FROM {registry} WHERE profile = 'original' AND (name, slot) NOT IN (SELECT (name, slot) FROM {registry} WHERE profile = 'full' AND name <> 'hi')
             UNION ALL SELECT name, slot, 'right' FROM {registry} WHERE profile = 'full' AND name <> 'hi' AND (name, slot) NOT IN (SELECT (name, slot) FROM {registry} WHERE profile = 'original'))""",
+        "digest_faults": """SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 13 = 2 THEN 'missing' WHEN doc_id % 7 = 3 THEN 'unexpected' ELSE 'digest' END AS fault FROM documents
+            WHERE (doc_id % 13 = 2 AND doc_id % 7 <> 3) OR (doc_id % 13 <> 2 AND (doc_id % 7 = 3 OR doc_id % 11 = 5))""",
+        "mass_shifts": "SELECT CAST(vec_id AS INTEGER) AS row_id, round(ln(0.05 / (vec_id + 1.5)), 9) AS shift FROM embeddings",
+        "load_faults": f"WITH RECURSIVE {_DONORS},{_LOADS} SELECT CAST(sum(load) + 1 AS VARCHAR) AS total FROM loads",
+        "left_out_rows": "SELECT 'embedding' AS key, count(*) AS rows_removed, CAST(sum(len(embedding)) AS BIGINT) AS values_omitted FROM embeddings WHERE vec_id % 3 = 1 OR vec_id % 5 = 2",
+        "tokens_to_text": f"WITH {_BASE} SELECT w.word AS k, substr(w.word, 2) || ' ' || substr(w.word, 2, 1) AS text FROM words w JOIN base b ON b.piece = w.word JOIN base c ON c.piece = substr(w.word, 1, 2)",
         "content_digest": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
         "normalized_text": "SELECT doc_id, sha256(replace(coalesce(text, ''), 'f', 'fi')) AS text_sha256 FROM documents",
     }

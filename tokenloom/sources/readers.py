@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.operators import joins
+
 MANIFEST = """
     profile string, status string, algorithm string, schema_version int, tokenizer_version int,
     native_vocabulary_size int, active_vocabulary_size int, inactive_native_slot_count int, native_blank_id int,
@@ -17,6 +21,7 @@ MANIFEST = """
 """
 ROW_MAP = "source_native_to_target_native array<int>, inactive_native_ids array<int>, source_blank_id int, target_blank_id int"
 REGISTRY = "profiles map<string, struct<num_prompts: int, prompt_dictionary: map<string, int>, unused_prompt_slots: array<int>>>, source struct<num_prompts: int, prompt_dictionary: map<string, int>>"
+NAMES = "bundles map<string, struct<path: string, manifest_sha256: string>>"
 SELECTION = "additions array<struct<piece: string, score: double>>"
 COVERAGE = "profiles map<string, struct<name: string, script: string, source_kind: string, expected_bundles: array<string>>>"
 
@@ -41,6 +46,54 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
+def digest_of_lines(lines) -> str:
+    """SHA-256 in hex of lines, each closed by a line feed."""
+    whole = hashlib.sha256()
+    for line in lines:
+        whole.update(line.encode() + b"\n")
+    return whole.hexdigest()
+
+
+def folder_digest(spark: SparkSession, path: str) -> str:
+    """One digest for all files below a folder: over their digests and paths in it, by path; markers (_*, .*) don't count.
+
+    Files are digested where they are read; only a line for each comes to the driver (1,000,000 at most).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    inner = F.regexp_replace("path", "^.*?" + re.escape(path.rstrip("/").split("/")[-1]) + "/", "")
+    rows = files.select(F.concat(F.sha2("content", 256), F.lit("  "), inner).alias("line"), inner.alias("name")).where(~F.element_at(F.split("name", "/"), -1).rlike("^[_.]"))
+    return digest_of_lines(r.line for r in joins.bounded(rows.orderBy("name")))
+
+
+def named_bundle(spark: SparkSession, names: str | None, bundle: str) -> tuple[str, str | None]:
+    """Folder and pinned manifest digest of a bundle given by a name of the file `names`, or as a folder."""
+    if names:
+        entries = {r.name: r for r in _json(spark, names, NAMES).select(F.explode("bundles").alias("name", "b")).select("name", "b.path", "b.manifest_sha256").collect()}
+        if bundle in entries:
+            return entries[bundle].path, entries[bundle].manifest_sha256
+    return bundle, None
+
+
+def checked_manifest(spark: SparkSession, path: str, manifest_sha256: str | None = None) -> dict:
+    """The fields of a bundle's manifest, {} without one; an error if it isn't the pinned one or a file differs from it."""
+    from tokenloom.operators import checks
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "manifest.json").load(path).select(F.sha2("content", 256).alias("sha256")).first()
+    if found is None:
+        if manifest_sha256:
+            raise ValueError(f"{path} has no manifest")
+        return {}
+    if manifest_sha256 and found.sha256 != manifest_sha256:
+        raise ValueError(f"the manifest of {path} is not the pinned one")
+    manifest = manifests(spark, f"{path}/manifest.json").first().asDict()
+    wanted = [(k, v) for k, v in (manifest.get("files") or {}).items()]
+    if wanted:
+        expected = spark.createDataFrame(wanted, "name string, sha256 string")
+        files = file_digests(spark, path).join(F.broadcast(expected.select("name")), "name", "left_semi")
+        checks.strict(checks.digest_faults(files, expected), "files differ from the manifest")
+    return manifest
+
+
 def checked_content(spark: SparkSession, path: str, expected: str) -> DataFrame:
     """content of one file; an error unless its digest is the expected one."""
     files = spark.read.format("binaryFile").load(path)
@@ -110,6 +163,23 @@ def model_pieces(raw: bytes) -> list[tuple[int, str, float, int]]:
     return out
 
 
+def model_rest(raw: bytes) -> bytes:
+    """All of a serialised model but its pieces, field by field: normaliser, trainer and other metadata."""
+    return b"".join(b"%d:%d:" % (n, len(v) if isinstance(v, bytes) else -1) + (v if isinstance(v, bytes) else b"%d;" % v) for n, v in _fields(raw) if n != 1)
+
+
+def model_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """name and sha256 of what each model file below path holds besides its pieces; checks.digest_faults compares two of them."""
+
+    def work(batches):
+        for batch in batches:
+            rest = [hashlib.sha256(model_rest(c)).hexdigest() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rest, pa.string())], names=["name", "sha256"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return files.mapInArrow(work, "name string, sha256 string")
+
+
 def models(spark: SparkSession, path: str) -> DataFrame:
     """name, id, piece, score, type of every model file below path."""
 

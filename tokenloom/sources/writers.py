@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at a path, in whatever store it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def vocabulary_text(pieces: DataFrame, path: str) -> None:
     """One piece a line in the order of ids (a vocabulary is small, so one file)."""
     pieces.orderBy("id").select("piece").coalesce(1).write.mode("errorifexists").text(path)
