@@ -311,3 +311,15 @@ def test_long_words_are_counted_whole(spark):
             for b in range(len(w) - k + 1):
                 want[w[b : b + k]] = want.get(w[b : b + k], 0) + n
     assert {r.piece: r.n for r in voc.substring_counts(counts, 2, 4).collect()} == want
+
+
+def test_states_and_heads(spark):
+    kind = "key string, dtype string, shape array<long>, storage string"
+    old = spark.createDataFrame([("emb", "f32", [4, 2], "a"), ("out", "f32", [4, 2], "b"), ("enc", "f32", [3, 3], "c"), ("gone", "f32", [1], "d")], kind)
+    new = spark.createDataFrame([("emb", "f32", [6, 2], "a"), ("out", "f32", [6, 2], "a"), ("enc", "f16", [3, 3], "c")], kind)
+    assert sorted(map(tuple, checks.tensor_faults(old, new, ("emb", "out")).collect())) == [("emb", "shared"), ("enc", "dtype"), ("gone", "missing"), ("out", "shared")]
+    wide = spark.createDataFrame([("emb", "f32", [4, 3], "a"), ("out", "f32", [4, 2], "b"), ("enc", "f32", [4, 3], "c"), ("gone", "f32", [1], "d")], kind)
+    assert sorted(map(tuple, checks.tensor_faults(old, wide, ("emb", "out")).collect())) == [("emb", "shape"), ("enc", "shape")]
+    heads = [("good", "rnnt", True, 0, 1, 9, 10, 10), ("ctc", "ctc", True, 0, 1, 9, 10, 10), ("pad", "rnnt", False, 0, 1, 9, 10, 10), ("tdt", "rnnt", True, 5, 1, 9, 10, 10), ("two", "rnnt", True, 0, 2, 9, 10, 10), ("blank", "rnnt", True, 0, 1, 8, 10, 10), ("more", "rnnt", True, 0, 1, 9, 10, 11)]
+    models = spark.createDataFrame(heads, "name string, head string, blank_as_pad boolean, extra_outputs int, embeddings int, padding_id int, outputs int, classes int")
+    assert dict(map(tuple, checks.head_faults(models).collect())) == {"ctc": "head", "pad": "padding", "tdt": "extra outputs", "two": "embeddings", "blank": "blank", "more": "classes"}

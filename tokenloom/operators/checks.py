@@ -122,6 +122,56 @@ def digest_faults(files: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.select("name", fault.alias("fault")).where("fault is not null")
 
 
+def tensor_faults(old: DataFrame, new: DataFrame, vocabulary_keys: tuple[str, ...]) -> DataFrame:
+    """key and fault between the tensors (key, dtype, shape, storage) of two states.
+
+    Both must have the same keys and dtypes, and shapes that differ in the first place of vocabulary keys only;
+    a storage that two keys name is shared, which vocabulary keys must not be.
+    """
+    a = old.select("key", F.col("dtype").alias("dtype_a"), F.col("shape").alias("shape_a"))
+    b = new.select("key", F.col("dtype").alias("dtype_b"), F.col("shape").alias("shape_b"))
+
+    def rest(shape: str):
+        return F.slice(shape, F.lit(2), F.greatest(F.size(shape) - 1, F.lit(0)))
+
+    grown = F.col("key").isin(*vocabulary_keys) & (F.size("shape_a") == F.size("shape_b")) & rest("shape_a").eqNullSafe(rest("shape_b"))
+    fault = (
+        F.when(F.col("dtype_a").isNull() | F.col("dtype_b").isNull(), "missing")
+        .when(F.col("dtype_a") != F.col("dtype_b"), "dtype")
+        .when(~F.col("shape_a").eqNullSafe(F.col("shape_b")) & ~grown, "shape")
+    )
+    found = a.join(b, "key", "full_outer").select("key", fault.alias("fault")).where("fault is not null")
+    twice = new.where("storage is not null").groupBy("storage").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > 1)
+    shared = twice.select(F.explode("keys").alias("key")).where(F.col("key").isin(*vocabulary_keys)).select("key", F.lit("shared").alias("fault"))
+    return found.unionByName(shared)
+
+
+def head_faults(models: DataFrame) -> DataFrame:
+    """name and fault of models (name, head, blank_as_pad, extra_outputs, embeddings, padding_id, outputs, classes) whose vocabulary can't be moved.
+
+    Only plain transducers can: one embedding whose padding is the blank, as many outputs as classes, none besides.
+    """
+    fault = (
+        F.when(~F.col("head").eqNullSafe("rnnt"), "head")
+        .when(~F.coalesce("blank_as_pad", F.lit(False)), "padding")
+        .when(F.coalesce("extra_outputs", F.lit(0)) != 0, "extra outputs")
+        .when(~F.col("embeddings").eqNullSafe(1), "embeddings")
+        .when(~(F.col("padding_id") + 1).eqNullSafe(F.col("outputs")), "blank")
+        .when(~F.col("classes").eqNullSafe(F.col("outputs")), "classes")
+    )
+    return models.select("name", fault.alias("fault")).where("fault is not null")
+
+
+def mask_faults(pieces: DataFrame, classes: DataFrame) -> DataFrame:
+    """profile and fault where a mask can't be applied: there must be a slot for every text class, with ids 0, 1, 2, ...
+
+    classes: profile, n (text classes of the output layer, the blank left out).
+    """
+    found = pieces.groupBy("profile").agg(F.count("*").alias("slots"), F.countDistinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"))
+    fault = F.when(F.col("slots").isNull() | F.col("n").isNull(), "missing").when(F.col("slots") != F.col("n"), "classes").when((F.col("low") != 0) | (F.col("high") != F.col("n") - 1) | (F.col("ids") != F.col("n")), "ids")
+    return found.join(classes.select("profile", "n"), "profile", "full_outer").select("profile", fault.alias("fault")).where("fault is not null")
+
+
 def network_faults(params: DataFrame, embedding: str, weight: str, bias: str | None, blank: int, outputs: int) -> DataFrame:
     """key and fault of a transducer's vocabulary parameters.
 

@@ -11,6 +11,7 @@ MOST_PIECES rows, checked).
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -289,9 +290,34 @@ def tokenize(docs: DataFrame, lexicons: dict[str, Lexicon], text_col: str = "tex
     return with_ids(docs, lexicons, text_col, keep, rows_of, "profile string, ids array<int>")
 
 
+def nbest(words: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
+    """word, place (from 1), score and path: the n best paths of distinct words that pieces cover, or as many as there are.
+
+    Paths of equal sums stand in the order of their ids.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(lexicon)
+
+    def paths(word: str) -> list[tuple[float, tuple[int, ...]]]:
+        pieces, longest = shared.value.pieces, shared.value.longest
+        best: list[list] = [[(0.0, ())]] + [[] for _ in word]
+        for e in range(1, len(word) + 1):
+            here = [(score + found[0], (*ids, found[1])) for b in range(max(0, e - longest), e) if best[b] and (found := pieces.get(word[b:e])) for score, ids in best[b]]
+            best[e] = heapq.nsmallest(n, here, key=lambda x: (-x[0], x[1]))
+        return best[-1] if word else []
+
+    def work(batches):
+        for batch in batches:
+            out = [(w, k, *p) for w in batch.column(0).to_pylist() for k, p in enumerate(paths(w or ""), 1)]
+            columns = list(zip(*out)) or [[], [], [], []]
+            yield pa.RecordBatch.from_pydict({"word": pa.array(columns[0], pa.string()), "place": pa.array(columns[1], pa.int32()), "score": pa.array(columns[2], pa.float64()), "path": pa.array([list(x) for x in columns[3]], pa.list_(pa.int32()))})
+
+    return words.select("word").mapInArrow(work, "word string, place int, score double, path array<int>")
+
+
 def sampled(docs: DataFrame, lexicon: Lexicon, alpha: float, seed: int = 0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Like tokenize, with each word's path drawn with probability proportional to exp(alpha * score).
 
+    As no piece reaches across words, that is a draw from the lattice of the whole text.
     Draws depend on the seed, the text and the place of the word only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)

@@ -13,7 +13,7 @@ from tokenloom.functions import numbers as num
 from tokenloom.functions import text as tx
 from tokenloom.operators import checks, coverage, joins, parameters, prompts, tokens
 from tokenloom.operators import vocabulary as voc
-from tokenloom.operators.segment import Lexicon, sampled, segment_words, tokenize
+from tokenloom.operators.segment import Lexicon, nbest, sampled, segment_words, tokenize
 from tokenloom.plans import oracles
 
 #: Fixed rows of a small prompt registry: profile, name, slot.
@@ -372,13 +372,25 @@ def tokens_to_text(spark, sf_dir):
     return found.select("k", tokens.detokenized(F.col("ids"), tokens.spelling_table(base)).alias("text"))
 
 
+def mask_faults(spark, sf_dir):
+    pieces = _profiles(spark, sf_dir)[1]
+    classes = pieces.groupBy("profile").agg(F.count("*").alias("n")).withColumn("n", F.col("n") + F.when(F.col("profile") == "latin", 1).otherwise(0))
+    return checks.mask_faults(pieces.where("profile <> 'full' or id <> 3").withColumn("id", F.when((F.col("profile") == "original") & (F.col("id") == 7), 5000).otherwise(F.col("id"))), classes)
+
+
+def nbest_words(spark, sf_dir):
+    words = voc.word_counts(_docs(spark, sf_dir)).select("word")
+    found = nbest(words, Lexicon.of(_base(spark, sf_dir)), 3)
+    return found.select("word", "place", "score", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
 _NAMES = {segment_words_query: "segment_words"}
 _ALL = [
     coverage_by_lang, vocab_topk, profile_active_vocab, profile_acoustic_vocab, profile_summary, placeholder_slots, append_additions, row_map, inactive_anti_join, distinct_spellings, symbol_restriction,
     segment_words_query, tokenize_documents, detokenize_roundtrip, token_lookup, id_lookup, ids_validate, retokenize_required, dominated_pieces, model_diff, profile_faults, layout_faults,
     donor_paths, donor_loads, donor_cmax, donor_means, transfer_rows, verify_transfer, failing_keys, finite_rows, masked_logits, mass_ratio, log_partition, prompt_slots, unused_prompt_slots,
     document_tokens, token_sequences, addition_faults, donor_faults, row_map_faults, shape_faults, network_faults, same_dictionary, content_digest, normalized_text, sampled_segmentation,
-    digest_faults, mass_shifts, load_faults, left_out_rows, tokens_to_text,
+    digest_faults, mass_shifts, load_faults, left_out_rows, tokens_to_text, mask_faults, nbest_words,
 ]
 
 

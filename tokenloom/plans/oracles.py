@@ -47,7 +47,7 @@ pieces AS MATERIALIZED (
   FROM slots)"""
 
 
-def _paths(name: str, words: str, pieces: str, unknown: bool) -> str:
+def _paths(name: str, words: str, pieces: str, unknown: bool, most: int = 1) -> str:
     """CTEs that end in {name}(word, score, path): each word's best path over normal pieces (id, piece, score).
 
     Each round adds one piece to every kept path; of the paths of one word and round that end at one
@@ -71,11 +71,11 @@ def _paths(name: str, words: str, pieces: str, unknown: bool) -> str:
   SELECT word, e, score, path FROM (
     SELECT r.word, x.e, r.score + x.score AS score, list_append(r.path, x.id) AS path,
            row_number() OVER (PARTITION BY r.word, x.e ORDER BY r.score + x.score DESC, list_append(r.path, x.id)) AS k
-    FROM {name}_r r JOIN {name}_e x ON x.word = r.word AND x.b = r.pos) WHERE k = 1),
+    FROM {name}_r r JOIN {name}_e x ON x.word = r.word AND x.b = r.pos) WHERE k <= {most}),
 {name} AS MATERIALIZED (
-  SELECT word, score, path FROM (
+  SELECT word, score, path, k FROM (
     SELECT word, score, path, row_number() OVER (PARTITION BY word ORDER BY score DESC, path) AS k
-    FROM {name}_r WHERE pos = length(word) + 1) WHERE k = 1)"""
+    FROM {name}_r WHERE pos = length(word) + 1) WHERE k <= {most})"""
 
 
 _NORMAL = "SELECT id, piece, score FROM pieces WHERE type = 1 AND profile = '{}'"
@@ -219,6 +219,8 @@ def all_sql(prompts: list[tuple], sequences: list[tuple]) -> dict[str, str]:
         "same_dictionary": f"""SELECT name, CAST(slot AS INTEGER) AS slot, side FROM (
             SELECT name, slot, 'left' AS side FROM {registry} WHERE profile = 'original' AND (name, slot) NOT IN (SELECT (name, slot) FROM {registry} WHERE profile = 'full' AND name <> 'hi')
             UNION ALL SELECT name, slot, 'right' FROM {registry} WHERE profile = 'full' AND name <> 'hi' AND (name, slot) NOT IN (SELECT (name, slot) FROM {registry} WHERE profile = 'original'))""",
+        "mask_faults": "SELECT * FROM (VALUES ('latin', 'classes'), ('full', 'classes'), ('original', 'ids')) t(profile, fault)",
+        "nbest_words": f"WITH RECURSIVE {_BASE},{_paths('dp', 'SELECT word FROM words', 'SELECT id, piece, score FROM base WHERE type = 1', False, 3)} SELECT word, CAST(k AS INTEGER) AS place, score, array_to_string(path, ',') AS path FROM dp",
         "digest_faults": """SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 13 = 2 THEN 'missing' WHEN doc_id % 7 = 3 THEN 'unexpected' ELSE 'digest' END AS fault FROM documents
             WHERE (doc_id % 13 = 2 AND doc_id % 7 <> 3) OR (doc_id % 13 <> 2 AND (doc_id % 7 = 3 OR doc_id % 11 = 5))""",
         "mass_shifts": "SELECT CAST(vec_id AS INTEGER) AS row_id, round(ln(0.05 / (vec_id + 1.5)), 9) AS shift FROM embeddings",
