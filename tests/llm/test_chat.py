@@ -67,3 +67,16 @@ def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     odd = "\\### Assistant: </turn> ok"
     check(rows + [(-7, 0, "user", odd), (-7, 1, "assistant", odd)], chat.op5_chat(spark, sf_dir).collect())
+
+
+def test_offsets_are_those_of_the_library():
+    from tokenloom.llm.sentencepieces import default_model
+
+    model = default_model("byte_bpe_50k.json")
+    texts = [chat.render("user", "plain words, 12 of them\n\n  and  spaces"), chat.render("rôle", "日本語 😀 é \\ <|end|> ﬁ"), chat.render(None, None), "x"]
+    ids, start, end = chat.encoded(texts, model)
+    at, first = 0, 0
+    for text, own, e in zip(texts, ids, chat._encoder(model)[0].encode_batch(texts, add_special_tokens=False)):
+        n = len(own)
+        assert own.tolist() == e.ids and [(a - first, b - first) for a, b in zip(start[at : at + n].tolist(), end[at : at + n].tolist())] == e.offsets
+        at, first = at + n, first + len(text)

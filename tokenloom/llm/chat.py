@@ -43,7 +43,7 @@ def escape(s: str) -> str:
 
 
 def unescape(s: str) -> str:
-    return re.sub(r"\\(.)", r"\1", s, flags=re.DOTALL)
+    return s if "\\" not in s else re.sub(r"\\(.)", r"\1", s, flags=re.DOTALL)
 
 
 def render(role: str | None, text: str | None) -> str:
@@ -82,10 +82,33 @@ def _encoder(model: bytes):
         tok = Tokenizer.from_str(model.decode())
         tok.post_processor = processors.ByteLevel(trim_offsets=False)
         tok.add_special_tokens([TURN, TEXT, END])
-        _ENCODERS[key] = tok
+        # a byte-level piece spells a byte in each of its characters, a mark itself
+        pieces = tok.get_vocab(with_added_tokens=True)
+        added = {i: t.content for i, t in tok.get_added_tokens_decoder().items()}
+        size = np.zeros(max(pieces.values()) + 1, dtype=np.int64)
+        for piece, i in pieces.items():
+            size[i] = len(added[i].encode()) if i in added else len(piece)
+        _ENCODERS[key] = tok, size
     return _ENCODERS[key]
 
 
+def encoded(texts: list[str], model: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Ids of each text, and the start and end of every token in the characters of all texts back to back.
+
+    A token that holds a part of a character's bytes spans the whole character.
+    """
+    tok, size = _encoder(model)
+    ids = [np.array(e.ids, dtype=np.int32) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    ends = np.cumsum(size[np.concatenate(ids)]) if ids else np.zeros(0, np.int64)
+    bounds, wanted = np.cumsum([len(x) for x in ids]), np.cumsum([len(t.encode()) for t in texts])
+    if (np.append(0, ends)[bounds] != wanted).any():
+        raise ValueError("the tokenizer does not keep every byte of its text")
+    character = np.cumsum((raw & 0xC0) != 0x80)
+    begins = np.append(0, ends)[:-1]
+    return ids, character[begins] - 1, character[ends - 1]
+
+
 _PART = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("formatted", pa.large_string()), ("input_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("token_start", pa.list_(pa.int32())), ("token_end", pa.list_(pa.int32()))])
 
 
@@ -100,21 +123,20 @@ def format_conversations(rows: DataFrame, model: bytes, part_chars: int = PART_C
     dealt = plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def work(batches):
-        tok = _encoder(shared.value)
-
         def coded(parts):
-            encoded = tok.encode_batch([p[2] for p in parts], add_special_tokens=False)
-            out = []
-            for (conv, number, text), e in zip(parts, encoded):
-                spans = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
-                out.append((conv, number, text, np.array(e.ids, dtype=np.int32), mask(spans, learnt_spans(text)), spans[:, 0], spans[:, 1]))
-            columns = list(zip(*out))
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in columns[3]])])
+            conv, number, texts = zip(*parts)
+            ids, start, end = encoded(list(texts), shared.value)
+            first = np.cumsum([0, *(len(t) for t in texts)])
+            learnt = np.concatenate([learnt_spans(t) + at for t, at in zip(texts, first.tolist())])
+            on = mask(np.stack([start, end], axis=1), learnt)
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            start, end = start - np.repeat(first[:-1], np.diff(cuts)), end - np.repeat(first[:-1], np.diff(cuts))
 
             def lists(values, kind):
-                return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(values), kind))
+                return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.large_string()), lists(columns[3], pa.int32()), lists(columns[4], pa.bool_()), lists(columns[5], pa.int32()), lists(columns[6], pa.int32())], schema=_PART)
+            columns = [pa.array(conv, pa.int64()), pa.array(number, pa.int32()), pa.array(texts, pa.large_string())]
+            return pa.RecordBatch.from_arrays([*columns, lists(np.concatenate(ids), pa.int32()), lists(on, pa.bool_()), lists(start, pa.int32()), lists(end, pa.int32())], schema=_PART)
 
         ready, held = [], 0
         conv, number, turns, size = None, -1, [], 0
