@@ -46,17 +46,20 @@ def ranked(counts: DataFrame, most: int, first: int) -> DataFrame:
     return top.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + (first - 1)).cast("int"))
 
 
-def base_vocabulary(docs: DataFrame, size: int = BASE_PIECES) -> DataFrame:
-    """id, piece, n, score, type: <unk> at 0, then the commonest substrings of one to four characters."""
-    top = ranked(substring_counts(word_counts(docs), 1, 4), size, 1)
+def base_vocabulary(docs: DataFrame, size: int = BASE_PIECES, words: DataFrame | None = None) -> DataFrame:
+    """id, piece, n, score, type: <unk> at 0, then the commonest substrings of one to four characters.
+
+    words: the word counts of docs, where they are at hand.
+    """
+    top = ranked(substring_counts(word_counts(docs) if words is None else words, 1, 4), size, 1)
     scored = top.select("id", "piece", "n", (-(F.lit(1000) + F.col("id"))).cast("double").alias("score"), F.lit(NORMAL).alias("type"))
     unknown = docs.sparkSession.range(1).select(F.lit(0).alias("id"), F.lit(tx.UNKNOWN).alias("piece"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score"), F.lit(UNKNOWN).alias("type"))
     return unknown.unionByName(scored)
 
 
-def additions(docs: DataFrame, size: int = ADDED_PIECES) -> DataFrame:
+def additions(docs: DataFrame, size: int = ADDED_PIECES, words: DataFrame | None = None) -> DataFrame:
     """ord (from 0), piece, n, score: pieces that extended profiles append, in their order."""
-    top = ranked(substring_counts(word_counts(docs), 5, 6), size, 0)
+    top = ranked(substring_counts(word_counts(docs) if words is None else words, 5, 6), size, 0)
     return top.select(F.col("id").alias("ord"), "piece", "n", (-(F.lit(5000) + F.col("id"))).cast("double").alias("score"))
 
 

@@ -6,6 +6,7 @@ be held on the driver and broadcast.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +37,19 @@ def _base(spark, sf_dir) -> DataFrame:
 
 
 def _profiles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    base = _base(spark, sf_dir)
-    return base, _held(voc.profile_vocabulary(base, voc.additions(_docs(spark, sf_dir))))
+    """Base and profiles; the words are counted once for both."""
+    docs = _docs(spark, sf_dir)
+    words = voc.word_counts(docs).persist(StorageLevel.DISK_ONLY)
+    base, added = _held(voc.base_vocabulary(docs, words=words)), _held(voc.additions(docs, words=words))
+    words.unpersist()
+    return base, _held(voc.profile_vocabulary(base, added))
 
 
 def _lexicons(spark, sf_dir, names=("original", "latin")) -> dict[str, Lexicon]:
-    pieces = _profiles(spark, sf_dir)[1]
+    """Lexicons of profiles that take no additions, which so need not be counted."""
+    base = _base(spark, sf_dir)
+    none = spark.createDataFrame([], "ord int, piece string, n long, score double")
+    pieces = _held(voc.profile_vocabulary(base, none, names))
     return {n: Lexicon.of(pieces.where(F.col("profile") == n)) for n in names}
 
 
