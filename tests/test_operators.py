@@ -180,6 +180,38 @@ def test_placeholders_and_mask(spark):
     assert parameters.masked(logits, flags, enabled=False) is logits
 
 
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    ties = [(2 * random.Random(i).randrange(5_000_000) + 1) / 2e6 for i in range(2000)]
+    near = [math.nextafter(x, to) for x in ties for to in (0.0, math.inf)]
+    values = [s * x for x in [*ties, *near, 0.0, 1e-7, 4.9e-7, 5e-7, 1e300, 2.0**53 + 2, math.inf] for s in (1, -1)] + [math.nan, None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    got = {r.i: r.y for r in rows.select("i", num.rounded(F.col("x"), 6).alias("y")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [[i, x] for i, x in enumerate(values)])
+    assert {i: repr(y) for i, y in got.items()} == {i: repr(y) for i, y in con.execute("SELECT i, round(x, 6) FROM t").fetchall()}
+
+
+def test_logits_are_summed_from_the_left(spark):
+    draw = random.Random(5)
+    x = [[draw.uniform(-1, 1) for _ in range(64)] for _ in range(300)]
+    w = [[draw.uniform(-1, 1) for _ in range(64)] for _ in range(150)]
+    inputs, weights = spark.createDataFrame(list(enumerate(x)), "row int, x array<double>"), spark.createDataFrame([(i, v, i / 7) for i, v in enumerate(w)], "id int, w array<double>, b double")
+
+    def logit(row, i):
+        total = 0.0
+        for p, q in zip(x[row], w[i], strict=True):
+            total += p * q
+        return total + i / 7
+
+    got = {(r.row, r.id): r.logit for r in parameters.output_logits(inputs, weights).collect()}
+    assert got == {(row, i): logit(row, i) for row in range(300) for i in range(150)}
+    with pytest.raises(Exception, match="an input of 65 values for weights of 64"):
+        parameters.output_logits(spark.createDataFrame([(1, [0.0] * 65)], "row int, x array<double>"), weights).collect()
+
+
 def test_log_sum_exp(spark):
     rows = spark.createDataFrame([(1, [0.0, 1000.0]), (2, [-math.inf, -math.inf])], "id int, v array<double>")
     got = {r.id: r.x for r in rows.select("id", num.log_sum_exp(F.col("v")).alias("x")).collect()}

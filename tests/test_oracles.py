@@ -37,3 +37,16 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 def test_queries_without_sql_are_few(spark):
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"sampled_segmentation"}
+
+
+def test_masked_logits_of_odd_vectors(spark, tmp_path):
+    # logits that round to zero from below, vectors without values, with holes and of other lengths
+    a, b, c = 0.1, -0.3, 0.7
+    vectors = [[a, b, c], [1e-7, 0.0, 0.0], [-1e-7, 0.0, 0.0], [0.0, 0.0, 0.0], None, [], [None, None, None], [a, None, c], [None, b], [a], [b, c], [c, a], [float("nan"), a, b], [float("inf"), a, b]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = catalog.queries()["masked_logits"](spark, str(tmp_path)).collect()
+    want = con.execute(catalog.oracle_sql()["masked_logits"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert "-0.0" in {repr(r.logit) for r in got}

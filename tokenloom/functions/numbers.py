@@ -18,6 +18,15 @@ def all_finite(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & F.forall(vector, finite), F.lit(False))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to some decimal places as SQL rounds doubles: halves of the product go away from zero, and zero keeps its sign."""
+    scale = 10.0**places
+    far = F.abs(x) * scale
+    near = F.rint(far)
+    found = F.signum(x) * F.when(far - near == 0.5, near + 1).otherwise(near) / scale
+    return F.when(F.abs(found) < float("inf"), found).otherwise(x)
+
+
 def log_sum_exp(values: Column) -> Column:
     """ln of the sum of exp over an array; minus infinity where all values are."""
     top = F.array_max(values)

@@ -164,7 +164,8 @@ def output_logits(inputs: DataFrame, weights: DataFrame) -> DataFrame:
     """row, id and logit of x . w + b for every input (row, x) and output row (id, w, b).
 
     The result is a product by its nature. Inputs stay where they are and pass blocks of OUTPUTS output
-    rows, each broadcast by itself as a matrix.
+    rows, each broadcast by itself as a matrix. Places that x lacks or that are null add nothing; without
+    any value the logit is null. Sums go from the left, so they don't depend on a library's matrix product.
     """
     spark = inputs.sparkSession
     kind = f"row {inputs.schema['row'].dataType.simpleString()}, id {weights.schema['id'].dataType.simpleString()}, logit double"
@@ -182,14 +183,39 @@ def output_logits(inputs: DataFrame, weights: DataFrame) -> DataFrame:
             for batch in batches:
                 for a in range(0, batch.num_rows, 256):
                     part = batch.slice(a, 256)
-                    x = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(-1, w.shape[1])
-                    logit = x @ w.T + b
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(x)), len(b)))), id_.take(pa.array(np.tile(np.arange(len(b)), len(x)))), pa.array(logit.ravel())], names=["row", "id", "logit"])
+                    x, there = _matrix(part.column(1), w.shape[1])
+                    logit, empty = _products(x, there, w) + b, ~there.any(axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(x)), len(b)))), id_.take(pa.array(np.tile(np.arange(len(b)), len(x)))), pa.array(logit.ravel(), mask=np.repeat(empty, len(b)), from_pandas=False)], names=["row", "id", "logit"])
 
-        parts.append(inputs.where(F.size("x") > 0).select("row", F.col("x").cast("array<double>").alias("x")).mapInArrow(work, kind))
+        parts.append(inputs.select("row", F.col("x").cast("array<double>").alias("x")).mapInArrow(work, kind))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kind)
 
 
+def _matrix(vec: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows of a matrix, zero where they have no value, and where they have one."""
+    size = np.asarray(pc.list_value_length(vec).fill_null(0), dtype=np.int64)
+    if size.max(initial=0) > width:
+        raise ValueError(f"an input of {size.max()} values for weights of {width}")
+    at = np.arange(width) < size[:, None]
+    x, there, values = np.zeros(at.shape), np.zeros(at.shape, dtype=bool), vec.flatten()
+    x[at], there[at] = np.asarray(values.fill_null(0.0), dtype=np.float64), np.asarray(values.is_valid(), dtype=bool)
+    return x, there
+
+
+def _products(x: np.ndarray, there: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x . w of all rows of both, added up from the left over the values that are there."""
+    out, x, there = np.empty((len(x), len(w))), np.ascontiguousarray(x.T), np.ascontiguousarray(there.T)
+    whole = there.all(axis=1)
+    for a in range(0, len(w), 128):
+        block = w[a : a + 128]
+        total, term = np.zeros((len(block), x.shape[1])), np.empty((len(block), x.shape[1]))
+        for d in range(len(x)):
+            np.multiply(block[:, d, None], x[d], out=term)
+            total += term if whole[d] else np.where(there[d], term, 0.0)
+        out[:, a : a + 128] = total.T
+    return out
+
+
 def added_mass(logits: DataFrame, first_added: int) -> DataFrame:
     """row and ratio: the softmax mass of slots from first_added on over that of those before."""
     new = F.col("id") >= first_added

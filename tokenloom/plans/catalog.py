@@ -253,7 +253,7 @@ def _logits(spark, sf_dir) -> DataFrame:
 
 def masked_logits(spark, sf_dir):
     flags = spark.range(40).select(F.col("id").cast("int").alias("id"), (F.col("id") % 3 != 1).alias("is_active"))
-    return parameters.masked(_logits(spark, sf_dir), flags).select("row", "id", F.round("logit", 6).alias("logit"))
+    return parameters.masked(_logits(spark, sf_dir), flags).select("row", "id", num.rounded(F.col("logit"), 6).alias("logit"))
 
 
 def mass_ratio(spark, sf_dir):
